@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import relevance, repetition, splitting, term_counts
+from kelpline.llm import encoding, leakage, relevance, repetition, splitting, term_counts
 from kelpline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,30 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 @query(_COUNTS + "SELECT term, occurrences, records, mark FROM m")
 def p7_terms(spark: SparkSession, root: str) -> DataFrame:
     return _marked(spark, root)
+
+
+# 8 -- token ids ------------------------------------------------------------------------------------
+
+
+@query()
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, root, "documents"), "doc_id", "text", unique_ids=True)
+
+
+# 9 -- leaked evaluation passages -------------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked_items(
+        table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage"
+    )
+
+
+@query()
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root).select("doc_id", "item_id")
+
+
+@query()
+def p9_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root)
