@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import encoding, leakage, relevance, repetition, splitting, term_counts
-from kelpline.runtime import table
+from kelpline.llm import encoding, leakage, linkage, neighbours, relevance, repetition, splitting, term_counts
+from kelpline.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -195,3 +195,72 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def p9_leaks(spark: SparkSession, root: str) -> DataFrame:
     return _leaks(spark, root)
+
+
+# 2 -- most similar vectors -------------------------------------------------------------------------
+
+
+@query("""
+WITH v AS (SELECT DISTINCT chunk_id, modality, hist FROM histograms WHERE hist IS NOT NULL
+           AND len(list_filter(hist, lambda x: isnan(x))) = 0 AND len(list_filter(hist, lambda x: x <> 0)) > 0)
+SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM v a JOIN v b
+ON a.modality = b.modality AND a.chunk_id < b.chunk_id AND len(a.hist) = len(b.hist)
+WHERE list_cosine_similarity(a.hist::DOUBLE[], b.hist::DOUBLE[]) >= 0.95
+""")
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector is a query; at the floor of 0.95 its ten best partners are all of them."""
+    best = neighbours.most_similar(
+        table(spark, root, "histograms"), "chunk_id", "hist", 10, "modality", floor=0.95, order=["loaded_at"]
+    )
+    return best.select(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")).distinct()
+
+
+@query()
+def p2_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar vectors of every hundredth chunk, among all rows."""
+    best = neighbours.most_similar(
+        table(spark, root, "histograms"), "chunk_id", "hist", 10, "modality", queries=lambda c: c % 100 == 0, order=["loaded_at"]
+    )
+    return best.select(F.col("a").alias("chunk_id"), F.col("b").alias("similar_id"), F.round("sim", 6).alias("similarity"))
+
+
+# 5 -- similarity clusters --------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, root: str) -> list[tuple[str, DataFrame, str, str, list[str]]]:
+    return [
+        ("histograms", table(spark, root, "histograms"), "chunk_id", "hist", ["loaded_at"]),
+        ("codebook", table(spark, root, "codebook").where("modality <> 'text'"), "id", "centroid", []),
+    ]
+
+
+@query("""
+WITH v AS (
+  SELECT DISTINCT 'histograms' AS src, chunk_id AS key, modality, hist::DOUBLE[] AS v FROM histograms WHERE hist IS NOT NULL
+  UNION ALL SELECT DISTINCT 'codebook', id, modality, centroid::DOUBLE[] FROM codebook WHERE centroid IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0)
+SELECT a.src, a.key AS key_a, b.key AS key_b FROM u a JOIN u b
+ON a.src = b.src AND a.modality = b.modality AND a.key < b.key AND len(a.v) = len(b.v)
+WHERE list_cosine_similarity(a.v, b.v) >= 0.74
+""")
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs within a group, as the definition of this query has it."""
+    out = None
+    for src, df, key, vec, order in _vectors(spark, root):
+        found = linkage.similarity_clusters(df, key, vec, "modality", order=order)
+        found = materialize(found, "clusters")
+        pairs = found.alias("a").join(found.alias("b"), "cluster").where("a.id < b.id")
+        pairs = pairs.select(F.lit(src).alias("src"), F.col("a.id").alias("key_a"), F.col("b.id").alias("key_b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+@query()
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Size, cohesion and the three most typical members of every group."""
+    out = None
+    for src, df, key, vec, order in _vectors(spark, root):
+        found = materialize(linkage.similarity_clusters(df, key, vec, "modality", order=order), "clusters")
+        told = linkage.describe_clusters(df, found, key, vec, "modality", order=order).withColumn("src", F.lit(src))
+        out = told if out is None else out.unionByName(told)
+    return out.withColumn("cohesion", F.round("cohesion", 6))
