@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import encoding, leakage, linkage, neighbours, relevance, repetition, splitting, term_counts
+from kelpline.llm import encoding, languages, leakage, linkage, neighbours, relevance, repetition, splitting, term_counts
 from kelpline.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,3 +264,28 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
         told = linkage.describe_clusters(df, found, key, vec, "modality", order=order).withColumn("src", F.lit(src))
         out = told if out is None else out.unionByName(told)
     return out.withColumn("cohesion", F.round("cohesion", 6))
+
+
+# 6 -- languages of songs and of their stretches ----------------------------------------------------
+
+
+def _languages(spark: SparkSession, root: str) -> DataFrame:
+    songs = table(spark, root, "lyrics_sample")
+    model = languages.fit_languages(
+        table(spark, root, "lang_examples"), "content", "lang", songs, "song_id", "lyrics", "lang"
+    )
+    return languages.judged_languages(songs, "song_id", "lyrics", "lang", model)
+
+
+@query()
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return _languages(spark, root).where("label_state <> 'right'").select("song_id", "first_line", "lang")
+
+
+@query()
+def p6_stretches(spark: SparkSession, root: str) -> DataFrame:
+    """Every stretch of every song, with its confidence and what the label is worth."""
+    found = _languages(spark, root)
+    return found.select(
+        "song_id", "first_line", "last_line", "n_lines", "lang", F.round("confidence", 4).alias("confidence"), "labelled", "label_state"
+    )
