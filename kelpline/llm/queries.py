@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import encoding, languages, leakage, linkage, neighbours, relevance, repetition, splitting, term_counts
+from kelpline.llm import (
+    encoding,
+    languages,
+    leakage,
+    linkage,
+    neighbours,
+    relevance,
+    repetition,
+    sentences,
+    splitting,
+    term_counts,
+)
 from kelpline.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,3 +300,20 @@ def p6_stretches(spark: SparkSession, root: str) -> DataFrame:
     return found.select(
         "song_id", "first_line", "last_line", "n_lines", "lang", F.round("confidence", 4).alias("confidence"), "labelled", "label_state"
     )
+
+
+# 10 -- sentences -----------------------------------------------------------------------------------
+
+
+def _sentences(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, root, "documents"), "doc_id", "text", "lang", unique_ids=True)
+
+
+@query()
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _sentences(spark, root).select("doc_id", "start_pos", "end_pos")
+
+
+@query()
+def p10_sentences(spark: SparkSession, root: str) -> DataFrame:
+    return _sentences(spark, root)
