@@ -136,6 +136,8 @@ def split_oversized(
             lambda t: [{"start_pos": a, "end_pos": b, "cut": c} for a, b, c in split_text(t, limit, overlap, shortest)]
         )
 
+    # not deterministic: else the filter that exploding infers would run it a second time
+    cut = cut.asNondeterministic()
     parts = (
         long.withColumn("_cuts", cut(F.col(text_col)))
         .select(id_col, text_col, F.posexplode("_cuts").alias("piece_pos", "_cut"))
