@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import check_columns, latest_per_id
@@ -260,18 +260,9 @@ def best_path(log_p: np.ndarray, change: float) -> np.ndarray:
     return path
 
 
-def language_stretches(
-    df: DataFrame, id_col: str, text_col: str, model: LanguageModel, change: float = 1.5, order: list[str] | None = None
-) -> DataFrame:
-    """(``id_col``, first_line, last_line, n_lines, lang, confidence): one row per stretch of lines.
-
-    Lines are the parts between line feeds, from 0.  Blank lines, section tags and filler lines have no
-    language, are skipped and end no stretch.  confidence is the mean calibrated probability of the
-    language over the stretch's lines.  Null, empty and tag-only texts have no row; repeated ids count
-    once (the greatest by ``order``, then text); null ids are left out.  Other columns are ignored.
-    """
-    check_columns(df, id_col, text_col)
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def _stretches(spark: SparkSession, model: LanguageModel, change: float):
+    """The function from texts to arrays of stretches."""
+    sent = spark.sparkContext.broadcast(model)
 
     def of_batch(texts: pd.Series) -> list[list[dict]]:
         where: list[tuple[int, int]] = []
@@ -312,24 +303,47 @@ def language_stretches(
     def stretches(texts: pd.Series) -> pd.Series:
         return pd.Series([x for lo in range(0, len(texts), 500) for x in of_batch(texts.iloc[lo : lo + 500])], dtype=object)
 
+    # not deterministic: else the filter that exploding infers would run it a second time
+    return stretches.asNondeterministic()
+
+
+def language_stretches(
+    df: DataFrame, id_col: str, text_col: str, model: LanguageModel, change: float = 1.5, order: list[str] | None = None
+) -> DataFrame:
+    """(``id_col``, first_line, last_line, n_lines, lang, confidence): one row per stretch of lines.
+
+    Lines are the parts between line feeds, from 0.  Blank lines, section tags and filler lines have no
+    language, are skipped and end no stretch.  confidence is the mean calibrated probability of the
+    language over the stretch's lines.  Null, empty and tag-only texts have no row; repeated ids count
+    once (the greatest by ``order``, then text); null ids are left out.  Other columns are ignored.
+    """
+    check_columns(df, id_col, text_col)
     cols = [id_col, text_col, *[c for c in order or [] if c not in (id_col, text_col)]]
     rows = latest_per_id(df.select(*cols), id_col, [text_col], order)
-    return rows.select(id_col, F.explode(stretches(F.col(text_col))).alias("s")).select(id_col, "s.*")
-
-
-def judged_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, model: LanguageModel, **kw) -> DataFrame:
-    """Stretches with label_state: ``missing`` (no label names one of the languages), ``wrong`` (no line is in
-    the labelled language), ``mixed`` (lines in several languages) or ``right``."""
-    labelled = latest_per_id(df.select(id_col, text_col, label_col), id_col, [text_col, label_col])
-    named = language_of_label(F.col(label_col))
-    found = language_stretches(labelled, id_col, text_col, model, **kw)
-    label = labelled.select(F.col(id_col).alias("_id"), named.alias("labelled"))
-    per = found.groupBy(id_col).agg(F.collect_set("lang").alias("_langs")).withColumnRenamed(id_col, "_id2")
-    joined = found.join(label, F.col(id_col) == F.col("_id")).join(per, F.col(id_col) == F.col("_id2"))
+    found = rows.select(id_col, _stretches(df.sparkSession, model, change)(F.col(text_col)).alias("_s"))
+    return found.select(id_col, F.explode("_s").alias("s")).select(id_col, "s.*")
+
+
+def judged_languages(
+    df: DataFrame, id_col: str, text_col: str, label_col: str, model: LanguageModel, change: float = 1.5, order: list[str] | None = None
+) -> DataFrame:
+    """Stretches with ``labelled`` (the language that the label names) and label_state: ``missing`` (none of the
+    languages is named), ``wrong`` (no line is in the labelled language), ``mixed`` (lines in several
+    languages) or ``right``.  Otherwise as :func:`language_stretches`."""
+    check_columns(df, id_col, text_col, label_col)
+    cols = list(dict.fromkeys([id_col, text_col, label_col, *(order or [])]))
+    rows = latest_per_id(df.select(*cols), id_col, [text_col, label_col], order)
+    found = rows.select(
+        F.col(id_col),
+        language_of_label(F.col(label_col)).alias("labelled"),
+        _stretches(df.sparkSession, model, change)(F.col(text_col)).alias("_s"),
+    )
+    langs = F.array_distinct(F.transform("_s", lambda x: x["lang"]))
     state = (
         F.when(F.col("labelled").isNull(), "missing")
-        .when(~F.array_contains("_langs", F.col("labelled")), "wrong")
-        .when(F.size("_langs") > 1, "mixed")
+        .when(~F.array_contains(langs, F.col("labelled")), "wrong")
+        .when(F.size(langs) > 1, "mixed")
         .otherwise("right")
     )
-    return joined.withColumn("label_state", state).drop("_id", "_id2", "_langs")
+    told = found.select(id_col, "labelled", state.alias("label_state"), F.explode("_s").alias("s"))
+    return told.select(id_col, "s.*", "labelled", "label_state")
