@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm import (
@@ -238,11 +238,27 @@ def p2_nearest(spark: SparkSession, root: str) -> DataFrame:
 # 5 -- similarity clusters --------------------------------------------------------------------------
 
 
-def _vectors(spark: SparkSession, root: str) -> list[tuple[str, DataFrame, str, str, list[str]]]:
-    return [
-        ("histograms", table(spark, root, "histograms"), "chunk_id", "hist", ["loaded_at"]),
-        ("codebook", table(spark, root, "codebook").where("modality <> 'text'"), "id", "centroid", []),
-    ]
+def _vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of both tables under one id: the two sources are clustered in the same rounds."""
+
+    def rows(src: str, name: str, key: str, vec: str, loaded) -> DataFrame:
+        return table(spark, root, name).where("modality <> 'text'").select(
+            F.concat_ws(":", F.lit(src), F.col(key).cast("string")).alias("id"),
+            F.concat_ws("/", F.lit(src), "modality").alias("grp"),
+            F.col(vec).alias("vec"),
+            loaded.cast("timestamp_ntz").alias("loaded_at"),
+        )
+
+    hist = rows("histograms", "histograms", "chunk_id", "hist", F.col("loaded_at"))
+    return hist.unionByName(rows("codebook", "codebook", "id", "centroid", F.lit(None)))
+
+
+def _src(id: Column | str) -> Column:
+    return F.element_at(F.split(id, ":"), 1)
+
+
+def _key(id: Column | str) -> Column:
+    return F.element_at(F.split(id, ":"), 2).cast("long")
 
 
 @query("""
@@ -256,25 +272,24 @@ WHERE list_cosine_similarity(a.v, b.v) >= 0.74
 """)
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """All pairs within a group, as the definition of this query has it."""
-    out = None
-    for src, df, key, vec, order in _vectors(spark, root):
-        found = linkage.similarity_clusters(df, key, vec, "modality", order=order)
-        found = materialize(found, "clusters")
-        pairs = found.alias("a").join(found.alias("b"), "cluster").where("a.id < b.id")
-        pairs = pairs.select(F.lit(src).alias("src"), F.col("a.id").alias("key_a"), F.col("b.id").alias("key_b"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    found = linkage.similarity_clusters(_vectors(spark, root), "id", "vec", "grp", order=["loaded_at"])
+    found = materialize(found, "clusters")
+    found = found.select("cluster", _src("id").alias("src"), _key("id").alias("key"))
+    pairs = found.alias("a").join(found.alias("b"), ["cluster", "src"]).where("a.key < b.key")
+    return pairs.select("src", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
 
 
 @query()
 def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Size, cohesion and the three most typical members of every group."""
-    out = None
-    for src, df, key, vec, order in _vectors(spark, root):
-        found = materialize(linkage.similarity_clusters(df, key, vec, "modality", order=order), "clusters")
-        told = linkage.describe_clusters(df, found, key, vec, "modality", order=order).withColumn("src", F.lit(src))
-        out = told if out is None else out.unionByName(told)
-    return out.withColumn("cohesion", F.round("cohesion", 6))
+    rows = _vectors(spark, root)
+    found = materialize(linkage.similarity_clusters(rows, "id", "vec", "grp", order=["loaded_at"]), "clusters")
+    told = linkage.describe_clusters(rows, found, "id", "vec", "grp", order=["loaded_at"])
+    return told.select(
+        _src("cluster").alias("src"), F.element_at(F.split("grp", "/"), 2).alias("modality"),
+        _key("cluster").alias("cluster"), "size", F.round("cohesion", 6).alias("cohesion"),
+        F.transform("typical_ids", _key).alias("typical_keys"),
+    )
 
 
 # 6 -- languages of songs and of their stretches ----------------------------------------------------
