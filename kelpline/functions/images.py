@@ -67,17 +67,20 @@ def hsv_histogram(hsv: np.ndarray) -> np.ndarray:
     return out / length if length else out
 
 
-@F.pandas_udf("array<double>")
-def colour_histogram(content: pd.Series) -> pd.Series:
+def colour_histogram(content: Column) -> Column:
     """Colour histogram of encoded images; null for what cannot be decoded."""
 
-    def one(data: bytes | None):
-        try:
-            return hsv_histogram(hsv_of_rgb(decode_rgb(data or b"")))
-        except ValueError:
-            return None
+    @F.pandas_udf("array<double>")
+    def extract(data: pd.Series) -> pd.Series:
+        def one(d: bytes | None):
+            try:
+                return hsv_histogram(hsv_of_rgb(decode_rgb(d or b"")))
+            except ValueError:
+                return None
 
-    return content.map(one)
+        return data.map(one)
+
+    return extract(content)
 
 
 def sift_descriptors(content: Column, max_features: int = 0, longest: int = 512) -> Column:
