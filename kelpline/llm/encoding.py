@@ -206,10 +206,11 @@ def decode_corpus(encoded: DataFrame, id_col: str, ids_col: str = "ids", ranks_p
     unknown ids raise no error and add nothing; broken UTF-8 is replaced.
     """
     table = F.broadcast(pieces(encoded.sparkSession, ranks_path))
-    rows = encoded.select(id_col, ids_col, F.posexplode_outer(ids_col).alias("_pos", "_id"))
+    given = F.col(ids_col).isNotNull().alias("_given")
+    rows = encoded.select(id_col, given, F.posexplode_outer(ids_col).alias("_pos", "_id"))
     joined = rows.join(table, F.col("_id") == F.col("id"), "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.hex("piece").alias("h")))), lambda x: x["h"]), "")
-    grouped = joined.groupBy(id_col).agg(text.alias("_hex"), F.max(F.col(ids_col).isNotNull()).alias("_given"))
+    grouped = joined.groupBy(id_col).agg(text.alias("_hex"), F.max("_given").alias("_given"))
     return grouped.select(id_col, F.when(F.col("_given"), F.expr("decode(unhex(_hex), 'UTF-8')")).alias("text"))
 
 
