@@ -10,9 +10,10 @@ Two plans share these codes:
 
 * :func:`nearest_to_queries`: a set of queries, in blocks, against one scan of all codes.
 * :func:`similar_pairs`: every vector against every other one above a similarity floor.  Vectors are
-  put into cells around leaders of a bounded sample; vectors far from every leader share an open cell.
-  By the triangle inequality of angles a vector must look into few cells.  Cells are cut into blocks
-  of bounded size and compared block by block, so a cell that holds a third of all rows is many tasks.
+  put into cells around leaders of a bounded sample; vectors far from every leader stay open and are put
+  into cells of a next level.  By the triangle inequality of angles a vector must look into few cells.
+  Cells are cut into blocks of bounded size and compared block by block, so a cell that holds a third
+  of all rows is many tasks.
 
 Equal vectors are collapsed to one representative first.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,13 +41,21 @@ BLOCK = 1024
 OPEN = -1
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    """dim x bits with orthonormal rows; at least 512 bits, so short vectors have tight bounds too."""
+    """dim x bits with orthonormal rows; at least 512 bits, so short vectors have tight bounds too.
+
+    It follows from its arguments, so tasks make it themselves.
+    """
     bits = max(512, -(-dim // 64) * 64)
     gauss = np.random.default_rng([seed, dim]).standard_normal((bits, dim))
     return np.ascontiguousarray(np.linalg.qr(gauss)[0].T, dtype=np.float32)
 
 
+def _dim(grp: str) -> int:
+    return int(grp.rsplit("/", 1)[1])
+
+
 def encode(unit: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits and correction scalars of unit vectors."""
     turned = unit.astype(np.float32) @ rot
@@ -112,22 +122,13 @@ def collapse(rows: DataFrame) -> Collapsed:
     return Collapsed(reps, members)
 
 
-@dataclass
-class Cells:
-    """Leaders of one group and the rotation of its codes."""
-
-    centres: np.ndarray
-    rot: np.ndarray
-
-
-def fit_cells(sample: np.ndarray, max_cells: int, cover: float, seed: int = 11) -> Cells:
+def fit_cells(sample: np.ndarray, cover: float) -> np.ndarray:
     """Leaders that cover the sample: a vector with no leader of similarity ``cover`` becomes one.
 
-    Each leader moves to the mean of its vectors; those that nothing but themselves follow are dropped,
-    and their vectors stand in the open cell.
+    Each leader then moves to the mean of the vectors that are nearest to it.
     """
     dim = sample.shape[1]
-    leaders = np.zeros((0, dim))
+    leaders = np.zeros((0, dim), dtype=np.float32)
     for lo in range(0, len(sample), 256):
         batch = sample[lo : lo + 256]
         free = (batch @ leaders.T).max(1, initial=-1) < cover
@@ -137,69 +138,74 @@ def fit_cells(sample: np.ndarray, max_cells: int, cover: float, seed: int = 11)
                 fresh.append(v)
         if fresh:
             leaders = np.concatenate([leaders, np.stack(fresh)])
-        if len(leaders) >= max_cells:
-            leaders = leaders[:max_cells]
-            break
-    if len(leaders):
-        sims = sample @ leaders.T
-        home, best = sims.argmax(1), sims.max(1)
-        near = best >= cover
-        sums = np.zeros_like(leaders)
-        np.add.at(sums, home[near], sample[near])
-        count = np.bincount(home[near], minlength=len(leaders))
-        leaders = sums[count > 1]
-        leaders /= np.maximum(np.linalg.norm(leaders, axis=1, keepdims=True), 1e-12)
-    return Cells(leaders.astype(np.float32), rotation(dim, seed))
-
-
-def _sample(reps: DataFrame, grp: str, n: int, rows: int) -> np.ndarray:
-    """At most ``rows`` unit vectors of a group, chosen by a hash of the id."""
-    part = reps.where(F.col("grp") == grp)
-    if n > rows:
-        part = part.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1.1e6 * rows / n) + 1)
-    got = part.select("vec").limit(rows).toPandas()
-    return _unit(got["vec"]) if len(got) else np.zeros((0, int(grp.rsplit("/", 1)[1])))
+    sums = np.zeros_like(leaders)
+    for lo in range(0, len(sample) if len(leaders) else 0, 1024):
+        sims = sample[lo : lo + 1024] @ leaders.T
+        near = sims.max(1) >= cover
+        np.add.at(sums, sims.argmax(1)[near], sample[lo : lo + 1024][near])
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+
+
+def _sample(rows: DataFrame, grp: str, n: int, size: int, level: int) -> np.ndarray:
+    """At most ``size`` unit vectors of a group, chosen by a hash of the id."""
+    part = rows.where((F.col("grp") == grp) & F.col("home"))
+    if n > size:
+        part = part.where(F.pmod(F.xxhash64("id", F.lit(5 + level)), F.lit(1_000_000)) < int(1.05e6 * size / n) + 1)
+    got = part.select("vec").limit(size).toPandas()
+    return _unit(got["vec"]).astype(np.float32) if len(got) else np.zeros((0, _dim(grp)), dtype=np.float32)
 
 
 # -- every vector against every vector above a floor -------------------------------------------------
 
 
-def _assign(cells: dict[str, Cells], tight: float, slack: float):
+def _assign(leaders, last: frozenset, tight: float, slack: float, seed: int):
+    """Rows of one level to its cells.  ``leaders`` is a broadcast of arrays by group."""
     reach = np.arccos(np.clip(tight, -1, 1))
 
+    def place(unit: np.ndarray, at_home: np.ndarray, centres: np.ndarray):
+        """(row, cell, home) of a block of rows."""
+        n = len(unit)
+        if not len(centres):
+            return np.arange(n), np.full(n, OPEN), at_home
+        angle = np.arccos(np.clip(unit.astype(np.float32) @ centres.T, -1, 1))
+        nearest = angle.argmin(1)
+        near = angle[np.arange(n), nearest]
+        is_open = near > reach
+        # a partner in another cell is within reach of its leader, and no farther from it than from this one's;
+        # of two cells, the rows of the one with the larger number look into the other
+        bound = np.where(at_home & ~is_open, np.minimum(reach, near + slack), reach) + slack
+        look = angle <= bound[:, None]
+        limit = np.where(at_home, np.where(is_open, -1, nearest), len(centres))
+        look &= np.arange(len(centres))[None, :] < limit[:, None]
+        row, cell = np.nonzero(look)
+        home = np.flatnonzero(at_home)
+        # what may have a partner in the open cell goes there, too, to look
+        edge = np.flatnonzero(~at_home | (~is_open & (near + slack > reach)))
+        rows = np.concatenate([home, row, edge])
+        cells = np.concatenate([np.where(is_open, OPEN, nearest)[home], cell, np.full(len(edge), OPEN)])
+        return rows, cells, np.arange(len(rows)) < len(home)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for grp, rows in batch.groupby("grp", sort=False):
-                c = cells[grp]
-                unit = _unit(rows["vec"])
-                codes, f = encode(unit, c.rot)
-                n = len(rows)
-                if len(c.centres):
-                    angle = np.arccos(np.clip(unit.astype(np.float32) @ c.centres.T, -1, 1))
-                    home = angle.argmin(1)
-                    near = angle[np.arange(n), home]
-                else:
-                    angle, home, near = np.full((n, 0), np.pi), np.zeros(n, dtype=np.int64), np.full(n, np.pi)
-                is_open = near > reach
-                cell = np.where(is_open, OPEN, home)
-                # a partner in cell c is within reach of c and no farther from it than from this home
-                look = angle <= np.minimum(reach, near[:, None] + slack) + slack
-                look &= np.arange(angle.shape[1])[None, :] < np.where(is_open, -1, home)[:, None]
-                at, other = np.nonzero(look)
-                edge = np.flatnonzero(~is_open & (near + slack > reach))
-                row = np.concatenate([np.arange(n), at, edge])
-                yield pd.DataFrame(
-                    {
-                        "grp": grp,
-                        "id": rows["id"].to_numpy()[row],
-                        "copies": rows["copies"].to_numpy()[row],
-                        "vec": rows["vec"].to_numpy()[row],
-                        "code": [codes[i].tobytes() for i in row],
-                        "f": f[row],
-                        "cell": np.concatenate([cell, other, np.full(len(edge), OPEN)]).astype(np.int32),
-                        "home": np.arange(len(row)) < n,
-                    }
-                )
+            for grp, whole in batch.groupby("grp", sort=False):
+                centres = leaders.value.get(grp, np.zeros((0, _dim(grp)), dtype=np.float32))
+                for lo in range(0, len(whole), 1024):
+                    rows = whole.iloc[lo : lo + 1024]
+                    unit = _unit(rows["vec"])
+                    codes, f = encode(unit, rotation(_dim(grp), seed))
+                    row, cell, home = place(unit, rows["home"].to_numpy(dtype=bool), centres)
+                    yield pd.DataFrame(
+                        {
+                            "grp": grp,
+                            "id": rows["id"].to_numpy()[row],
+                            "vec": rows["vec"].to_numpy()[row],
+                            "code": [codes[i].tobytes() for i in row],
+                            "f": f[row],
+                            "cell": cell.astype(np.int32),
+                            "home": home,
+                            "next": (cell == OPEN) & (grp not in last),
+                        }
+                    )
 
     return run
 
@@ -222,10 +228,10 @@ def _best_pairs(
     return i[keep], j[keep], sims[keep]
 
 
-def _compare(cells: dict[str, Cells], floor: float, k: int):
+def _compare(floor: float, k: int, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grp, _, probe, i, j = key
-        rot = cells[grp].rot
+        grp, _, _, probe, i, j = key
+        rot = rotation(_dim(grp), seed)
         ids, unit = rows["id"].to_numpy(), _unit(rows["vec"])
         codes, f = _unpack(rows["code"]), rows["f"].to_numpy()
         side = rows["side"].to_numpy()
@@ -254,34 +260,52 @@ def similar_pairs(
     k: int,
     slack: float | None = None,
     tight: float = 0.6,
-    sample_rows: int = 8192,
-    max_cells: int = 1024,
+    sample_rows: int = 16_384,
+    levels: int = 12,
     block: int = BLOCK,
     seed: int = 11,
 ) -> DataFrame:
     """(a, b, sim) for every vector a: its ``k`` most similar vectors b with a similarity of at least ``floor``.
 
-    ``reps`` has grp, id, vec (usable, different vectors) and copies.  The leaders are fitted on at most
-    ``sample_rows`` vectors of a group; every vector is indexed.  ``slack`` is the angle, in radians, by
-    which a partner may differ; by default the angle of ``floor``, at which no pair is missed by the
-    cells.  A smaller slack looks into fewer cells.  Ties are ordered by b.
+    ``reps`` has grp, id, vec (usable, different vectors).  The leaders of a level are fitted on at most
+    ``sample_rows`` vectors of a group; every vector is indexed.  Vectors that are far from all leaders
+    stay open and get leaders of their own on the next level, until at most ``sample_rows`` are open or a
+    level takes in less than a tenth; these are compared with each other block by block.
+    ``slack`` is the angle, in radians, by which a partner may differ; by default the angle of
+    ``floor``, at which no pair is missed by the cells.  A smaller slack looks into fewer cells.  Ties
+    are ordered by b.
     """
     slack = float(np.arccos(np.clip(floor, -1, 1))) if slack is None else slack
-    groups = {r["grp"]: r["count"] for r in reps.groupBy("grp").count().collect()}
-    id_type = reps.schema["id"].dataType.simpleString()
-    if not groups:
-        return reps.sparkSession.createDataFrame([], f"a {id_type}, b {id_type}, sim double")
-    cells = {g: fit_cells(_sample(reps, g, n, sample_rows), max_cells, tight, seed) for g, n in groups.items()}
-    placed = reps.mapInPandas(
-        _assign(cells, tight, slack),
-        f"grp string, id {id_type}, copies long, vec array<float>, code binary, f double, cell int, home boolean",
-    )
-    placed = materialize(placed, "cells")
-    counts = placed.groupBy("grp", "cell").agg(
-        F.ceil(F.count_if("home") / block).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("probes")
+    spark, id_type = reps.sparkSession, reps.schema["id"].dataType.simpleString()
+    schema = f"grp string, id {id_type}, vec array<float>, code binary, f double, cell int, home boolean, next boolean"
+    todo, parts, before = reps.select("grp", "id", "vec", F.lit(True).alias("home")), [], {}
+    for level in range(levels):
+        sizes = {r["grp"]: r["n"] for r in todo.groupBy("grp").agg(F.count_if("home").alias("n")).collect()}  # one row a group
+        sizes = {g: n for g, n in sizes.items() if n}
+        if not sizes:
+            break
+        stuck = {g for g, n in sizes.items() if g in before and (n <= sample_rows or n > 0.9 * before[g])}
+        last = frozenset(sizes if level == levels - 1 else stuck)
+        leaders = {g: fit_cells(_sample(todo, g, n, sample_rows, level), tight) for g, n in sizes.items() if g not in last}
+        sent = spark.sparkContext.broadcast(leaders)
+        del leaders
+        placed = materialize(todo.mapInPandas(_assign(sent, last, tight, slack, seed), schema), "cells")
+        parts.append(placed.where("not next").select(F.lit(level).alias("level"), "*"))
+        todo = placed.where("next").select("grp", "id", "vec", "home")
+        before = sizes
+        if last == frozenset(sizes):
+            break
+    if not parts:
+        return spark.createDataFrame([], f"a {id_type}, b {id_type}, sim double")
+    placed = parts[0]
+    for p in parts[1:]:
+        placed = placed.unionByName(p)
+    counts = placed.groupBy("grp", "level", "cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_p"))
+    counts = counts.where((F.col("_h") > 0) & (F.col("_h") + F.col("_p") > 1)).select(
+        "grp", "level", "cell", F.ceil(F.col("_h") / block).cast("int").alias("homes"), F.ceil(F.col("_p") / block).cast("int").alias("probes")
     )
-    # as many rows as there are cells: at most (max_cells + 1) per group
-    rows = placed.join(F.broadcast(counts), ["grp", "cell"]).where("homes > 0")
+    # as many rows as there are cells: at most ``sample_rows`` per group and level
+    rows = placed.join(F.broadcast(counts), ["grp", "level", "cell"])
     b = F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("home"), F.col("homes")).otherwise(F.col("probes"))).cast("int")
     rows = rows.withColumn("blk", b)
 
@@ -301,11 +325,11 @@ def similar_pairs(
     ).otherwise(F.slice(with_homes, 1, 0))
     as_probe = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda o: task(True, own, o, F.lit(0)))
     tasks = F.when(F.col("home"), F.concat(with_homes, with_probes)).otherwise(as_probe)
-    spread = rows.select("grp", "cell", "id", "vec", "code", "f", F.explode(tasks).alias("t")).select(
-        "grp", "cell", "t.probe", "t.i", "t.j", "t.side", "id", "vec", "code", "f"
+    spread = rows.select("grp", "level", "cell", "id", "vec", "code", "f", F.explode(tasks).alias("t")).select(
+        "grp", "level", "cell", "t.probe", "t.i", "t.j", "t.side", "id", "vec", "code", "f"
     )
-    found = spread.groupBy("grp", "cell", "probe", "i", "j").applyInPandas(
-        _compare(cells, floor, k), f"a {id_type}, b {id_type}, sim double"
+    found = spread.groupBy("grp", "level", "cell", "probe", "i", "j").applyInPandas(
+        _compare(floor, k, seed), f"a {id_type}, b {id_type}, sim double"
     )
     place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
@@ -314,14 +338,25 @@ def similar_pairs(
 # -- queries against all rows ------------------------------------------------------------------------
 
 
-def _scan(queries: dict, k: int):
+def _coded(seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for grp, rows in batch.groupby("grp", sort=False):
+                codes, f = encode(_unit(rows["vec"]), rotation(_dim(grp), seed))
+                yield pd.DataFrame({"grp": grp, "id": rows["id"], "vec": rows["vec"], "code": [c.tobytes() for c in codes], "f": f})
+
+    return run
+
+
+def _scan(queries, k: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for grp, rows in batch.groupby("grp", sort=False):
                 if grp not in queries.value:
                     continue
-                q_ids, q, rot = queries.value[grp]
+                q_ids, q = queries.value[grp]
+                rot = rotation(_dim(grp), seed)
                 for lo in range(0, len(rows), BLOCK):
                     part = rows.iloc[lo : lo + BLOCK]
                     ids, unit = part["id"].to_numpy(), _unit(part["vec"])
@@ -358,22 +393,14 @@ def nearest_to_queries(reps: DataFrame, queries: DataFrame, k: int, query_block:
     each; the scan keeps k rows per query and partition.  A query is not its own neighbour.
     """
     spark, id_type = reps.sparkSession, reps.schema["id"].dataType.simpleString()
-    groups = [r["grp"] for r in reps.select("grp").distinct().collect()]
-    cells = {g: Cells(np.zeros((0, int(g.rsplit("/", 1)[1]))), rotation(int(g.rsplit("/", 1)[1]), seed)) for g in groups}
     empty = spark.createDataFrame([], f"a {id_type}, b {id_type}, sim double")
-    if not groups:
-        return empty
-    coded = reps.mapInPandas(
-        _assign(cells, 1.0, 0.0),
-        f"grp string, id {id_type}, copies long, vec array<float>, code binary, f double, cell int, home boolean",
-    )
-    coded = materialize(coded.select("grp", "id", "vec", "code", "f"), "codes")
+    coded = materialize(reps.mapInPandas(_coded(seed), f"grp string, id {id_type}, vec array<float>, code binary, f double"), "codes")
     parts: list[DataFrame] = []
 
     def search(block: list) -> None:
         frame = pd.DataFrame(block, columns=["grp", "id", "vec"])
-        by = {g: (r["id"].to_numpy(), _unit(r["vec"]), cells[g].rot) for g, r in frame.groupby("grp") if g in cells}
-        parts.append(coded.mapInPandas(_scan(spark.sparkContext.broadcast(by), k), f"a {id_type}, b {id_type}, sim double"))
+        by = {g: (r["id"].to_numpy(), _unit(r["vec"])) for g, r in frame.groupby("grp")}
+        parts.append(coded.mapInPandas(_scan(spark.sparkContext.broadcast(by), k, seed), f"a {id_type}, b {id_type}, sim double"))
 
     block: list = []
     for row in queries.select("grp", "id", "vec").toLocalIterator():
