@@ -28,9 +28,9 @@ def usable(a: Column) -> Column:
 
 
 def l2_normalised(a: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays.  The norm is an argument of its own, so it is computed once per array."""
+    lengths = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(a, lengths, lambda x, n: F.when(n > 0, x / n).otherwise(x.cast("double")))
 
 
 def z_scored(a: Column, mean: Column, scale: Column) -> Column:

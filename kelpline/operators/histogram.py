@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,10 +54,16 @@ def sparse_of_dense(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def dense_of_sparse(rows: DataFrame, id_col: str, size: int) -> DataFrame:
     """(id_col, hist): arrays of ``size`` numbers."""
-    packed = F.map_from_entries(F.collect_list(F.struct("word_idx", "weight")))
-    grouped = rows.groupBy(id_col).agg(packed.alias("m"))
-    places = F.sequence(F.lit(0), F.lit(size - 1))
-    return grouped.select(id_col, F.transform(places, lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("hist"))
+
+    @F.pandas_udf("array<double>")
+    def scatter(words: pd.Series, weights: pd.Series) -> pd.Series:
+        out = np.zeros((len(words), size))
+        for i, (at, w) in enumerate(zip(words, weights)):
+            out[i, at] = w
+        return pd.Series(list(out))
+
+    packed = rows.groupBy(id_col).agg(F.collect_list(F.struct("word_idx", "weight")).alias("m"))
+    return packed.select(id_col, scatter(F.col("m.word_idx"), F.col("m.weight")).alias("hist"))
 
 
 def of_chunk(postings: DataFrame, chunk_id, id_col: str = "chunk_id") -> DataFrame:

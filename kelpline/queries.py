@@ -806,7 +806,7 @@ def ablation_coherence(spark: SparkSession, root: str) -> DataFrame:
     rows = materialize(_stored(spark, root, "image"), "stored")
     out = None
     for view, a, n in (("shape", 1, 512), ("colour", 513, 32), ("fused", 1, 544)):
-        seen = rows.select("chunk_id", vx.l2_normalised(F.slice("hist", a, n)).alias("hist"))
+        seen = materialize(rows.select("chunk_id", vx.l2_normalised(F.slice("hist", a, n)).alias("hist")), "view")
         asked = seen.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "hist")
         told = metrics.coherence(knn.exact(seen, asked, 10, "chunk_id", "hist"), labels, "chunk_id")
         told = told.agg((F.sum(F.col("coherence") * F.col("n")) / F.sum("n")).alias("coherence"), F.sum("n").alias("queries"))
