@@ -127,19 +127,18 @@ def fit_cells(sample: np.ndarray, cover: float) -> np.ndarray:
 
     Each leader then moves to the mean of the vectors that are nearest to it.
     """
-    dim = sample.shape[1]
-    leaders = np.zeros((0, dim), dtype=np.float32)
+    leaders = np.empty_like(sample)
+    n = 0
     for lo in range(0, len(sample), 256):
         batch = sample[lo : lo + 256]
-        free = (batch @ leaders.T).max(1, initial=-1) < cover
-        fresh: list[np.ndarray] = []
-        for v in batch[free]:
-            if not fresh or (np.stack(fresh) @ v).max() < cover:
-                fresh.append(v)
-        if fresh:
-            leaders = np.concatenate([leaders, np.stack(fresh)])
+        old = n
+        for v in batch[(batch @ leaders[:n].T).max(1, initial=-1) < cover]:
+            if n == old or (leaders[old:n] @ v).max() < cover:
+                leaders[n] = v
+                n += 1
+    leaders = leaders[:n].copy()
     sums = np.zeros_like(leaders)
-    for lo in range(0, len(sample) if len(leaders) else 0, 1024):
+    for lo in range(0, len(sample) if n else 0, 1024):
         sims = sample[lo : lo + 1024] @ leaders.T
         near = sims.max(1) >= cover
         np.add.at(sums, sims.argmax(1)[near], sample[lo : lo + 1024][near])
@@ -151,8 +150,13 @@ def _sample(rows: DataFrame, grp: str, n: int, size: int, level: int) -> np.ndar
     part = rows.where((F.col("grp") == grp) & F.col("home"))
     if n > size:
         part = part.where(F.pmod(F.xxhash64("id", F.lit(5 + level)), F.lit(1_000_000)) < int(1.05e6 * size / n) + 1)
-    got = part.select("vec").limit(size).toPandas()
-    return _unit(got["vec"]).astype(np.float32) if len(got) else np.zeros((0, _dim(grp)), dtype=np.float32)
+    got = part.select("vec").limit(size).toArrow()
+    flat = np.concatenate([np.zeros(0, np.float32), *[c.flatten().to_numpy() for c in got.column("vec").chunks]])
+    unit = flat.astype(np.float32, copy=False).reshape(-1, _dim(grp))
+    if len(unit):
+        unit = unit / np.abs(unit).max(1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    return unit
 
 
 # -- every vector against every vector above a floor -------------------------------------------------
@@ -260,7 +264,7 @@ def similar_pairs(
     k: int,
     slack: float | None = None,
     tight: float = 0.6,
-    sample_rows: int = 16_384,
+    sample_rows: int = 8_192,
     levels: int = 12,
     block: int = BLOCK,
     seed: int = 11,
@@ -290,6 +294,7 @@ def similar_pairs(
         sent = spark.sparkContext.broadcast(leaders)
         del leaders
         placed = materialize(todo.mapInPandas(_assign(sent, last, tight, slack, seed), schema), "cells")
+        sent.destroy()  # the cells are written
         parts.append(placed.where("not next").select(F.lit(level).alias("level"), "*"))
         todo = placed.where("next").select("grp", "id", "vec", "home")
         before = sizes
