@@ -11,7 +11,7 @@ from kelpline.functions.text import Analyzer
 from kelpline.operators import codebook as cb
 from kelpline.operators import histogram as hg
 from kelpline.operators.split import paragraph_chunks
-from kelpline.runtime import materialize
+from kelpline.runtime import materialize, range_partitions
 from kelpline.sources.songs import dense_ids
 
 
@@ -47,9 +47,9 @@ def norms_of(postings: DataFrame) -> DataFrame:
 
 def sorted_postings(rows: DataFrame) -> DataFrame:
     """Postings in ranges of words, sorted within; row groups then hold few words each."""
-    return rows.select("word_idx", "chunk_id", "weight").repartitionByRange("word_idx", "chunk_id").sortWithinPartitions(
-        "word_idx", "chunk_id"
-    )
+    n = range_partitions(rows.sparkSession)
+    ranged = rows.select("word_idx", "chunk_id", "weight").repartitionByRange(n, "word_idx", "chunk_id")
+    return ranged.sortWithinPartitions("word_idx", "chunk_id")
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:

@@ -82,5 +82,13 @@ def release(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def range_partitions(spark: SparkSession) -> int:
+    """Partitions for data that is sorted into ranges and kept: as many as shuffles have, or cores if more.
+
+    A stated number is not merged by adaptive execution, so what reads the ranges runs in parallel.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kelpline.runtime import materialize
+from kelpline.runtime import materialize, range_partitions
 
 #: Names under which each column may come, the first present one wins.
 ALIASES = {
@@ -48,7 +48,7 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "item_id") -> DataFra
 
     Rows are split into ranges, numbered within them, and shifted by the sizes of the ranges before.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(range_partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
     sizes = ranged.groupBy("_part").count().collect()  # one row per partition
     shift, so_far = {}, 0
