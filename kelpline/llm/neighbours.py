@@ -11,7 +11,8 @@ Two plans share these codes:
 * :func:`nearest_to_queries`: a set of queries, in blocks, against one scan of all codes.
 * :func:`similar_pairs`: every vector against every other one above a similarity floor.  Vectors are
   put into cells around leaders of a bounded sample; vectors far from every leader stay open and are put
-  into cells of a next level.  By the triangle inequality of angles a vector must look into few cells.
+  into cells of a next level.  By the triangle inequality of angles and the radius of each cell, measured
+  over its rows, a vector must look into few cells.
   Cells are cut into blocks of bounded size and compared block by block, so a cell that holds a third
   of all rows is many tasks.
 
@@ -29,14 +30,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from kelpline.llm.common import check_columns, latest_per_id
 from kelpline.runtime import materialize
 
 #: Factor of the error bound.
 EPS = 1.9
+#: The same for what looks into a cell, of which the code of one side is all there is; more is let through and compared exactly.
+PROBE_EPS = 4.0
 #: Largest number of vectors on one side of a comparison task.
 BLOCK = 1024
+#: Angles of single precision are off by less.
+ROUNDING = 1e-3
 #: Cell number of the vectors that are far from every leader.
 OPEN = -1
 
@@ -162,29 +168,49 @@ def _sample(rows: DataFrame, grp: str, n: int, size: int, level: int) -> np.ndar
 # -- every vector against every vector above a floor -------------------------------------------------
 
 
-def _assign(leaders, last: frozenset, tight: float, slack: float, seed: int):
-    """Rows of one level to its cells.  ``leaders`` is a broadcast of arrays by group."""
+def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit.astype(np.float32) @ centres.T, -1, 1))
+
+
+def _farthest(leaders, tight: float):
+    """(grp, cell, radius): the largest angle between a cell's leader and its own rows, per batch."""
+    reach = np.arccos(np.clip(tight, -1, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for grp, whole in batch.groupby("grp", sort=False):
+                centres = leaders.value.get(grp, ())
+                for lo in range(0, len(whole) if len(centres) else 0, 1024):
+                    angle = _angles(_unit(whole["vec"].iloc[lo : lo + 1024]), centres)
+                    found = pd.DataFrame({"grp": grp, "cell": angle.argmin(1).astype(np.int32), "radius": angle.min(1).astype(float)})
+                    yield found[found["radius"] <= reach + ROUNDING].groupby(["grp", "cell"], as_index=False).max()
+
+    return run
+
+
+def _assign(leaders, radii, last: frozenset, tight: float, slack: float, seed: int):
+    """Rows of one level to its cells.  ``leaders`` and ``radii`` are broadcasts of arrays by group."""
     reach = np.arccos(np.clip(tight, -1, 1))
 
-    def place(unit: np.ndarray, at_home: np.ndarray, centres: np.ndarray):
+    def place(unit: np.ndarray, at_home: np.ndarray, centres: np.ndarray, radius: np.ndarray):
         """(row, cell, home) of a block of rows."""
         n = len(unit)
         if not len(centres):
             return np.arange(n), np.full(n, OPEN), at_home
-        angle = np.arccos(np.clip(unit.astype(np.float32) @ centres.T, -1, 1))
+        angle = _angles(unit, centres)
         nearest = angle.argmin(1)
         near = angle[np.arange(n), nearest]
         is_open = near > reach
-        # a partner in another cell is within reach of its leader, and no farther from it than from this one's;
+        # a partner in another cell is within its radius of its leader, and no farther from it than from this one's;
         # of two cells, the rows of the one with the larger number look into the other
-        bound = np.where(at_home & ~is_open, np.minimum(reach, near + slack), reach) + slack
-        look = angle <= bound[:, None]
+        bound = np.where(at_home & ~is_open, np.minimum(reach, near + slack), reach)
+        look = angle <= np.minimum(bound[:, None], radius[None, :]) + (slack + ROUNDING)
         limit = np.where(at_home, np.where(is_open, -1, nearest), len(centres))
         look &= np.arange(len(centres))[None, :] < limit[:, None]
         row, cell = np.nonzero(look)
         home = np.flatnonzero(at_home)
         # what may have a partner in the open cell goes there, too, to look
-        edge = np.flatnonzero(~at_home | (~is_open & (near + slack > reach)))
+        edge = np.flatnonzero(~at_home | (~is_open & (near + slack + ROUNDING > reach)))
         rows = np.concatenate([home, row, edge])
         cells = np.concatenate([np.where(is_open, OPEN, nearest)[home], cell, np.full(len(edge), OPEN)])
         return rows, cells, np.arange(len(rows)) < len(home)
@@ -197,19 +223,25 @@ def _assign(leaders, last: frozenset, tight: float, slack: float, seed: int):
                     rows = whole.iloc[lo : lo + 1024]
                     unit = _unit(rows["vec"])
                     codes, f = encode(unit, rotation(_dim(grp), seed))
-                    row, cell, home = place(unit, rows["home"].to_numpy(dtype=bool), centres)
-                    yield pd.DataFrame(
-                        {
-                            "grp": grp,
-                            "id": rows["id"].to_numpy()[row],
-                            "vec": rows["vec"].to_numpy()[row],
-                            "code": [codes[i].tobytes() for i in row],
-                            "f": f[row],
-                            "cell": cell.astype(np.int32),
-                            "home": home,
-                            "next": (cell == OPEN) & (grp not in last),
-                        }
-                    )
+                    row, cell, home = place(unit, rows["home"].to_numpy(dtype=bool), centres, radii.value.get(grp))
+                    onward = (cell == OPEN) & (grp not in last)
+                    for k in range(0, len(row), 4096):
+                        s = slice(k, k + 4096)
+                        # who only looks into a cell goes there as a code
+                        whole_vec = rows["vec"].to_numpy()[row[s]]
+                        whole_vec[~(home[s] | onward[s])] = None
+                        yield pd.DataFrame(
+                            {
+                                "grp": grp,
+                                "id": rows["id"].to_numpy()[row[s]],
+                                "vec": whole_vec,
+                                "code": [codes[i].tobytes() for i in row[s]],
+                                "f": f[row[s]],
+                                "cell": cell[s].astype(np.int32),
+                                "home": home[s],
+                                "next": onward[s],
+                            }
+                        )
 
     return run
 
@@ -233,10 +265,12 @@ def _best_pairs(
 
 
 def _compare(floor: float, k: int, seed: int):
+    """Pairs of at least ``floor`` within a cell; pairs with what looks into it that may reach it, without sim."""
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         grp, _, _, probe, i, j = key
         rot = rotation(_dim(grp), seed)
-        ids, unit = rows["id"].to_numpy(), _unit(rows["vec"])
+        ids = rows["id"].to_numpy()
         codes, f = _unpack(rows["code"]), rows["f"].to_numpy()
         side = rows["side"].to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -246,6 +280,11 @@ def _compare(floor: float, k: int, seed: int):
         none = pd.DataFrame({"a": ids[:0], "b": ids[:0], "sim": np.zeros(0)})
         if not len(left) or not len(right):
             return none
+        if probe:
+            about, error = estimate(_unit(rows["vec"].iloc[right]), codes[left], f[left], rot)
+            y, x = np.nonzero(about + PROBE_EPS / EPS * error[None, :] >= floor)
+            return pd.DataFrame({"a": ids[right[y]], "b": ids[left[x]], "sim": np.nan})  # null in Spark
+        unit = _unit(rows["vec"])
         x, y, sims = _best_pairs(ids[left], unit[left], ids[right], unit[right], codes[right], f[right], rot, floor, same)
         out = pd.DataFrame(
             {"a": np.concatenate([ids[left[x]], ids[right[y]]]), "b": np.concatenate([ids[right[y]], ids[left[x]]]), "sim": np.concatenate([sims, sims])}
@@ -258,6 +297,16 @@ def _compare(floor: float, k: int, seed: int):
     return run
 
 
+@F.pandas_udf(DoubleType())
+def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.zeros(len(a))
+    size = a.map(len)
+    for dims in size.unique():
+        m = (size == dims).to_numpy()
+        out[m] = np.einsum("ij,ij->i", _unit(a[m]), _unit(b[m]))
+    return pd.Series(out)
+
+
 def similar_pairs(
     reps: DataFrame,
     floor: float,
@@ -292,9 +341,15 @@ def similar_pairs(
         last = frozenset(sizes if level == levels - 1 else stuck)
         leaders = {g: fit_cells(_sample(todo, g, n, sample_rows, level), tight) for g, n in sizes.items() if g not in last}
         sent = spark.sparkContext.broadcast(leaders)
+        far = todo.where("home").select("grp", "vec").mapInPandas(_farthest(sent, tight), "grp string, cell int, radius double")
+        radii = {g: np.full(len(c), -np.inf, dtype=np.float32) for g, c in leaders.items()}  # a cell without rows is not looked into
+        for r in far.groupBy("grp", "cell").agg(F.max("radius").alias("radius")).toLocalIterator():  # at most one row a leader
+            radii[r["grp"]][r["cell"]] = r["radius"]
         del leaders
-        placed = materialize(todo.mapInPandas(_assign(sent, last, tight, slack, seed), schema), "cells")
+        sent_radii = spark.sparkContext.broadcast(radii)
+        placed = materialize(todo.mapInPandas(_assign(sent, sent_radii, last, tight, slack, seed), schema), "cells")
         sent.destroy()  # the cells are written
+        sent_radii.destroy()
         parts.append(placed.where("not next").select(F.lit(level).alias("level"), "*"))
         todo = placed.where("next").select("grp", "id", "vec", "home")
         before = sizes
@@ -336,6 +391,14 @@ def similar_pairs(
     found = spread.groupBy("grp", "level", "cell", "probe", "i", "j").applyInPandas(
         _compare(floor, k, seed), f"a {id_type}, b {id_type}, sim double"
     )
+    found = materialize(found, "pairs")
+    maybe = found.where(F.col("sim").isNull()).select("a", "b")
+    found = found.where(F.col("sim").isNotNull())
+    if not maybe.isEmpty():
+        vec = reps.select("id", "vec")
+        across = maybe.join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b").select("a", "b", _cosine("va", "vb").alias("sim"))
+        across = materialize(across.where(F.col("sim") >= floor), "pairs")
+        found = found.unionByName(across).unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
