@@ -23,11 +23,13 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import check_columns, latest_per_id
+from kelpline.runtime import materialize
 
-#: Counts below this share of a language's tokens are left out of the model, so it has at most a million keys a kind.
+#: Keys below this share of a language's tokens are left out of the model, so it has at most a million keys a kind.
 LEAST_SHARE = 1e-6
 ANY = "*"
 
@@ -595,16 +597,31 @@ def learn_sentences(df: DataFrame, text_col: str, lang_col: str | None = None) -
             yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["lang", "kind", "key", "what", "n"])
 
     counted = rows.mapInPandas(count, "lang string, kind string, key string, what string, n long")
-    counted = counted.groupBy("lang", "kind", "key", "what").agg(F.sum("n").alias("n"))
-    least = F.max(F.when(F.col("kind") == "size", F.col("n"))).over(_per_language()) * LEAST_SHARE
-    kept = counted.withColumn("_least", least).where(F.col("n") >= F.col("_least")).drop("_least")
+    counted = materialize(counted.groupBy("lang", "kind", "key", "what").agg(F.sum("n").alias("n")), "counts")
+    kept = judged_counts(counted)
     return learn([tuple(r) for r in kept.toLocalIterator()])
 
 
-def _per_language():
-    from pyspark.sql import Window
+def judged_counts(counted: DataFrame) -> DataFrame:
+    """Counts (lang, kind, key, what, n) with capitalised followers judged: final if they are otherwise small.
 
-    return Window.partitionBy("lang")
+    A follower U<word> counts as ``end`` if the word is written small at least twice in its language (over all
+    languages for texts without one), else as ``initial``, that is, inside a sentence.  Only then is the model
+    bounded: keys whose total is below ``LEAST_SHARE`` of the language's tokens are left out whole.
+    """
+    small = counted.where("kind = 'small'")
+    own = small.where("lang <> '' AND n >= 2").select("lang", F.col("key").alias("_word"))
+    every = small.groupBy(F.col("key").alias("_word")).agg(F.sum("n").alias("n")).where("n >= 2").select(F.lit("").alias("lang"), "_word")
+    known = own.unionByName(every).withColumn("_small", F.lit(True))
+    capital = F.col("what").startswith("U") & F.col("kind").isin("period", "letter", "number", "dots")
+    upper = counted.where(capital).withColumn("_word", F.expr("substring(what, 2)"))
+    upper = upper.join(known, ["lang", "_word"], "left").withColumn("what", F.when(F.col("_small"), "end").otherwise("initial"))
+    rows = counted.where(~capital).unionByName(upper.select(*counted.columns))
+    rows = rows.groupBy("lang", "kind", "key", "what").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang", "kind", "key"))
+    size = counted.where("kind = 'size'").select("lang", (F.col("n") * LEAST_SHARE).alias("_least"))
+    rows = rows.withColumn("_total", total).join(F.broadcast(size), "lang")
+    return rows.where(F.col("_total") >= F.col("_least")).select(*counted.columns)
 
 
 def split_sentences(

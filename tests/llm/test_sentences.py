@@ -96,3 +96,15 @@ def test_spans_hold_all_but_white_space(spark, data):
             at = r.end_pos
         assert not text[at:].strip()
     assert set(found.doc_id) == {d for d, t in texts.items() if t.strip()}
+
+
+def test_rare_followers_are_summed_before_the_cut(spark):
+    """In a large language every follower of an abbreviation is rare, the abbreviation is not."""
+    rows = [("en", "size", "", "", 10_000_000), ("en", "small", "the", "", 500_000), ("en", "bare", "the", "", 500_000)]
+    rows += [("en", "period", "dr", f"Uname{i}", 1) for i in range(300)] + [("en", "period", "dr", "Uthe", 20)]
+    rows += [("en", "period", "once", "lower", 1)]
+    counted = spark.createDataFrame(rows, "lang string, kind string, key string, what string, n long")
+    kept = {(r.key, r.what): r.n for r in sn.judged_counts(counted).where("kind = 'period'").collect()}
+    assert kept == {("dr", "initial"): 300, ("dr", "end"): 20}
+    seen = sn.learn([tuple(r) for r in sn.judged_counts(counted).collect()]).abbreviations["en"]["dr"]
+    assert (seen.inner, seen.final) == (300, 20)
