@@ -90,3 +90,16 @@ def test_no_records(spark, book):
     assert {r["mark"] for r in tc.marked_terms(store, book).collect()} == {"rare"}
     with pytest.raises(ValueError):
         tc.record_changes(None, None, "id", "t")
+
+
+@pytest.mark.parametrize("times", [[None, None], [None, "2024-01-01 00:00:00"]])
+def test_chunks_without_a_time_are_counted(spark, tmp_path, times):
+    from kelpline.llm.queries import _marked
+
+    rows = [(i, "text", "moon moon", t) for i, t in enumerate(times)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, modality string, content string, loaded_at string")
+    chunks.withColumn("loaded_at", chunks.loaded_at.cast("timestamp_ntz")).write.parquet(str(tmp_path / "chunks.parquet"))
+    book = spark.createDataFrame([(1, "text", "moon")], "id long, modality string, term string")
+    book.write.parquet(str(tmp_path / "codebook.parquet"))
+    found = {r.term: (r.occurrences, r.records) for r in _marked(spark, str(tmp_path)).collect()}
+    assert found["moon"] == (4, 2)
