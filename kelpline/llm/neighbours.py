@@ -2,9 +2,10 @@
 
 A unit vector o is rotated into ``bits`` dimensions and stored as the signs of its coordinates, packed,
 with one scalar f = <rotated o, sign vector> / sqrt(bits).  For a query q, <rotated q, sign vector> /
-(sqrt(bits) * f) estimates <o, q>, and |error| <= eps * sqrt((1 - f^2) / f^2 / (bits - 1)) but for a
-vanishing share of pairs.  Only vectors whose upper bound reaches the wanted similarity, or the k-th best
-so far, are reranked with the vectors themselves.
+(sqrt(bits) * f) estimates <o, q>.  Over random rotations the error has the deviation
+sqrt((1 - f^2) / f^2 / (bits - 1)) * sqrt(1 - <o, q>^2), so a pair of at least the wanted similarity s is estimated below
+s - z * sqrt((1 - f^2) / f^2 / (bits - 1)) * sqrt(1 - s^2) with the probability of a normal value beyond z.  Only
+vectors above that, where s is the floor or the k-th best so far, are reranked with the vectors themselves.
 
 Two plans share these codes:
 
@@ -30,15 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType
 
 from kelpline.llm.common import check_columns, latest_per_id
-from kelpline.runtime import materialize
+from kelpline.runtime import materialize, release
 
-#: Factor of the error bound.
-EPS = 1.9
-#: The same for what looks into a cell, of which the code of one side is all there is; more is let through and compared exactly.
-PROBE_EPS = 4.0
+#: Deviations of the error bound where all pairs above a floor are wanted: one in three millions at the floor itself is missed.
+Z_FLOOR = 5.0
+#: The same where the k best are wanted.
+Z_BEST = 3.0
 #: Largest number of vectors on one side of a comparison task.
 BLOCK = 1024
 #: Angles of single precision are off by less.
@@ -69,11 +69,11 @@ def encode(unit: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(query: np.ndarray, codes: np.ndarray, f: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x vectors) and the error bound of every vector."""
+    """Estimated inner products (queries x vectors) and the error's deviation for every vector at similarity 0."""
     bits = rot.shape[1]
     signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
     about = (query.astype(np.float32) @ rot) @ signs.T / (np.sqrt(bits) * f)[None, :].astype(np.float32)
-    return about, EPS * np.sqrt(np.maximum(0, 1 - f**2) / f**2 / (bits - 1))
+    return about, np.sqrt(np.maximum(0, 1 - f**2) / f**2 / (bits - 1))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -92,10 +92,13 @@ def _unpack(codes: pd.Series) -> np.ndarray:
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, order: list[str] | None = None) -> DataFrame:
     """(grp, id, vec) without null, empty, all-zero vectors and those with null, NaN or infinite entries.
 
-    grp joins the group with the number of dimensions: vectors of different length are never compared.
+    grp joins the group with the number of dimensions: vectors of different length are never compared.  Repeated
+    ids, found by a pass over the ids alone, are few or many; only their rows are shuffled.
     """
     check_columns(df, id_col, vec_col, *([group_col] if group_col else []))
     group = F.col(group_col).cast("string") if group_col else F.lit("")
+    times = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = materialize(times.where("_n > 1 AND id IS NOT NULL").select("id"), "repeated")
     rows = df.select(
         F.concat(F.coalesce(group, F.lit("")), F.lit("/"), F.size(vec_col)).alias("grp"),
         F.col(id_col).alias("id"),
@@ -103,29 +106,41 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, group_col: str | No
         *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order or [])],
     )
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where((F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0))
+    rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0))
     # adding 0 turns -0 into 0, so that equal vectors are equal arrays
     rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))
-    return latest_per_id(rows, "id", ["grp", "vec"], [f"_o{k}" for k in range(len(order or []))]).select("grp", "id", "vec")
+    once = rows.join(repeated, "id", "left_anti").select("grp", "id", "vec")
+    often = latest_per_id(rows.join(repeated, "id", "left_semi"), "id", ["grp", "vec"], [f"_o{k}" for k in range(len(order or []))])
+    return once.unionByName(often.select("grp", "id", "vec"))
 
 
 @dataclass
 class Collapsed:
-    """``reps``: (grp, id, vec, copies), one row per different vector; ``members``: (id, rep) of all vectors
-    that have copies."""
+    """``rows``: (grp, id, vec) of all vectors; ``reps``: (grp, id, vec, copies), one row per different vector;
+    ``members``: (id, rep) of all vectors that have copies."""
 
+    rows: DataFrame
     reps: DataFrame
     members: DataFrame
 
 
+#: Up to so many copies are left out by a join at every reading of the vectors; if there are more, the rest is written.
+FEW_COPIES = 100_000
+
+
 def collapse(rows: DataFrame) -> Collapsed:
-    rows = materialize(rows, "vectors")
-    reps = rows.groupBy("grp", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(reps.select("grp", "id", "vec", "copies"), "representatives")
-    key = [F.col("grp"), F.xxhash64("vec", F.lit(1)).alias("h1"), F.xxhash64("vec", F.lit(2)).alias("h2")]
-    classes = reps.where("copies > 1").select(F.col("id").alias("rep"), *key)
-    members = rows.select("id", *key).join(classes, ["grp", "h1", "h2"]).select("id", "rep")
-    return Collapsed(reps, members)
+    """Equal vectors, told by 128 bits of hash, as one representative, the smallest id."""
+    hashed = rows.select("grp", "id", "vec", F.xxhash64("vec", F.lit(1)).alias("h1"), F.xxhash64("vec", F.lit(2)).alias("h2"))
+    hashed = materialize(hashed, "vectors")
+    key = ["grp", "h1", "h2"]
+    classes = hashed.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    members = materialize(hashed.select("id", *key).join(classes, key).select("id", "rep", "copies"), "members")
+    rows = hashed.select("grp", "id", "vec")
+    reps = rows.join(members, "id", "left").where("rep IS NULL OR rep = id")
+    reps = reps.select("grp", "id", "vec", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    if members.count() > FEW_COPIES:
+        reps = materialize(reps, "representatives")
+    return Collapsed(rows, reps, members.select("id", "rep"))
 
 
 def fit_cells(sample: np.ndarray, cover: float) -> np.ndarray:
@@ -181,14 +196,15 @@ def _farthest(leaders, tight: float):
             for grp, whole in batch.groupby("grp", sort=False):
                 centres = leaders.value.get(grp, ())
                 for lo in range(0, len(whole) if len(centres) else 0, 1024):
-                    angle = _angles(_unit(whole["vec"].iloc[lo : lo + 1024]), centres)
-                    found = pd.DataFrame({"grp": grp, "cell": angle.argmin(1).astype(np.int32), "radius": angle.min(1).astype(float)})
+                    cosine = _unit(whole["vec"].iloc[lo : lo + 1024]).astype(np.float32) @ centres.T
+                    radius = np.arccos(np.clip(cosine.max(1), -1, 1)).astype(float)
+                    found = pd.DataFrame({"grp": grp, "cell": cosine.argmax(1).astype(np.int32), "radius": radius})
                     yield found[found["radius"] <= reach + ROUNDING].groupby(["grp", "cell"], as_index=False).max()
 
     return run
 
 
-def _assign(leaders, radii, last: frozenset, tight: float, slack: float, seed: int):
+def _assign(leaders, radii, last: frozenset, tight: float, slack: float):
     """Rows of one level to its cells.  ``leaders`` and ``radii`` are broadcasts of arrays by group."""
     reach = np.arccos(np.clip(tight, -1, 1))
 
@@ -221,117 +237,31 @@ def _assign(leaders, radii, last: frozenset, tight: float, slack: float, seed: i
                 centres = leaders.value.get(grp, np.zeros((0, _dim(grp)), dtype=np.float32))
                 for lo in range(0, len(whole), 1024):
                     rows = whole.iloc[lo : lo + 1024]
-                    unit = _unit(rows["vec"])
-                    codes, f = encode(unit, rotation(_dim(grp), seed))
-                    row, cell, home = place(unit, rows["home"].to_numpy(dtype=bool), centres, radii.value.get(grp))
+                    row, cell, home = place(_unit(rows["vec"]), rows["home"].to_numpy(dtype=bool), centres, radii.value.get(grp))
                     onward = (cell == OPEN) & (grp not in last)
                     for k in range(0, len(row), 4096):
                         s = slice(k, k + 4096)
-                        # who only looks into a cell goes there as a code
-                        whole_vec = rows["vec"].to_numpy()[row[s]]
-                        whole_vec[~(home[s] | onward[s])] = None
-                        yield pd.DataFrame(
-                            {
-                                "grp": grp,
-                                "id": rows["id"].to_numpy()[row[s]],
-                                "vec": whole_vec,
-                                "code": [codes[i].tobytes() for i in row[s]],
-                                "f": f[row[s]],
-                                "cell": cell[s].astype(np.int32),
-                                "home": home[s],
-                                "next": onward[s],
-                            }
-                        )
-
-    return run
-
-
-def _best_pairs(
-    ids_a, a: np.ndarray, ids_b, b: np.ndarray, codes_b: np.ndarray, f_b: np.ndarray, rot: np.ndarray, floor: float, same: bool
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers in a and b and exact similarity of all pairs of at least ``floor``."""
-    about, error = estimate(a, codes_b, f_b, rot)
-    maybe = about + error[None, :] >= floor
-    if same:
-        maybe |= maybe.T  # either of a pair may have the tighter bound; keep what any of them admits
-        maybe &= np.tri(len(a), dtype=bool, k=-1).T
-    i, j = np.nonzero(maybe)
-    sims = np.empty(len(i))
-    for lo in range(0, len(i), 20_000):
-        s = slice(lo, lo + 20_000)
-        sims[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]])
-    keep = sims >= floor
-    return i[keep], j[keep], sims[keep]
-
-
-def _compare(floor: float, k: int, seed: int):
-    """Pairs of at least ``floor`` within a cell; pairs with what looks into it that may reach it, without sim."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grp, _, _, probe, i, j = key
-        rot = rotation(_dim(grp), seed)
-        ids = rows["id"].to_numpy()
-        codes, f = _unpack(rows["code"]), rows["f"].to_numpy()
-        side = rows["side"].to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not probe and i == j
-        if same:
-            right = left
-        none = pd.DataFrame({"a": ids[:0], "b": ids[:0], "sim": np.zeros(0)})
-        if not len(left) or not len(right):
-            return none
-        if probe:
-            about, error = estimate(_unit(rows["vec"].iloc[right]), codes[left], f[left], rot)
-            y, x = np.nonzero(about + PROBE_EPS / EPS * error[None, :] >= floor)
-            return pd.DataFrame({"a": ids[right[y]], "b": ids[left[x]], "sim": np.nan})  # null in Spark
-        unit = _unit(rows["vec"])
-        x, y, sims = _best_pairs(ids[left], unit[left], ids[right], unit[right], codes[right], f[right], rot, floor, same)
-        out = pd.DataFrame(
-            {"a": np.concatenate([ids[left[x]], ids[right[y]]]), "b": np.concatenate([ids[right[y]], ids[left[x]]]), "sim": np.concatenate([sims, sims])}
-        )
-        if not len(out):
-            return none
-        out = out.sort_values(["a", "sim", "b"], ascending=[True, False, True])
-        return out[out.groupby("a").cumcount() < k]
+                        yield rows.iloc[row[s]].assign(cell=cell[s].astype(np.int32), home=home[s], next=onward[s])
 
     return run
 
 
-@F.pandas_udf(DoubleType())
-def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a))
-    size = a.map(len)
-    for dims in size.unique():
-        m = (size == dims).to_numpy()
-        out[m] = np.einsum("ij,ij->i", _unit(a[m]), _unit(b[m]))
-    return pd.Series(out)
-
-
-def similar_pairs(
-    reps: DataFrame,
-    floor: float,
-    k: int,
-    slack: float | None = None,
-    tight: float = 0.6,
-    sample_rows: int = 8_192,
-    levels: int = 12,
-    block: int = BLOCK,
-    seed: int = 11,
-) -> DataFrame:
-    """(a, b, sim) for every vector a: its ``k`` most similar vectors b with a similarity of at least ``floor``.
+def in_cells(
+    rows: DataFrame, floor: float, slack: float | None = None, tight: float = 0.6, sample_rows: int = 8_192, levels: int = 12
+) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` (grp, id, vec, len, n) with level, cell and home, and the tables behind them, for release.
 
-    ``reps`` has grp, id, vec (usable, different vectors).  The leaders of a level are fitted on at most
-    ``sample_rows`` vectors of a group; every vector is indexed.  Vectors that are far from all leaders
-    stay open and get leaders of their own on the next level, until at most ``sample_rows`` are open or a
-    level takes in less than a tenth; these are compared with each other block by block.
+    Every vector is at home in one cell and looks into the other cells that may hold a partner of at least ``floor``.
+    The leaders of a level are fitted on at most ``sample_rows`` vectors of a group; every vector is placed.
+    Vectors that are far from all leaders stay open and get leaders of their own on the next level, until
+    at most ``sample_rows`` are open or a level takes in less than a tenth; these are one last cell.
     ``slack`` is the angle, in radians, by which a partner may differ; by default the angle of
-    ``floor``, at which no pair is missed by the cells.  A smaller slack looks into fewer cells.  Ties
-    are ordered by b.
+    ``floor``, at which no pair is missed by the cells.
     """
     slack = float(np.arccos(np.clip(floor, -1, 1))) if slack is None else slack
-    spark, id_type = reps.sparkSession, reps.schema["id"].dataType.simpleString()
-    schema = f"grp string, id {id_type}, vec array<float>, code binary, f double, cell int, home boolean, next boolean"
-    todo, parts, before = reps.select("grp", "id", "vec", F.lit(True).alias("home")), [], {}
+    spark, id_type, vec_type = rows.sparkSession, *(rows.schema[c].dataType.simpleString() for c in ("id", "vec"))
+    carried = f"grp string, id {id_type}, vec {vec_type}, len double, n long, home boolean"
+    todo, parts, tables, before = rows.select("grp", "id", "vec", "len", "n", F.lit(True).alias("home")), [], [], {}
     for level in range(levels):
         sizes = {r["grp"]: r["n"] for r in todo.groupBy("grp").agg(F.count_if("home").alias("n")).collect()}  # one row a group
         sizes = {g: n for g, n in sizes.items() if n}
@@ -347,22 +277,36 @@ def similar_pairs(
             radii[r["grp"]][r["cell"]] = r["radius"]
         del leaders
         sent_radii = spark.sparkContext.broadcast(radii)
-        placed = materialize(todo.mapInPandas(_assign(sent, sent_radii, last, tight, slack, seed), schema), "cells")
+        open_only = todo.where(F.col("grp").isin(list(sizes)))  # who only looks has nothing to look at elsewhere
+        placed = materialize(open_only.mapInPandas(_assign(sent, sent_radii, last, tight, slack), f"{carried}, cell int, next boolean"), "cells")
+        tables.append(placed)
         sent.destroy()  # the cells are written
         sent_radii.destroy()
-        parts.append(placed.where("not next").select(F.lit(level).alias("level"), "*"))
-        todo = placed.where("next").select("grp", "id", "vec", "home")
+        parts.append(placed.where("not next").select(F.lit(level).alias("level"), "grp", "cell", "id", "vec", "len", "n", "home"))
+        todo = placed.where("next").select("grp", "id", "vec", "len", "n", "home")
         before = sizes
         if last == frozenset(sizes):
             break
-    if not parts:
-        return spark.createDataFrame([], f"a {id_type}, b {id_type}, sim double")
-    placed = parts[0]
-    for p in parts[1:]:
-        placed = placed.unionByName(p)
-    counts = placed.groupBy("grp", "level", "cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_p"))
-    counts = counts.where((F.col("_h") > 0) & (F.col("_h") + F.col("_p") > 1)).select(
-        "grp", "level", "cell", F.ceil(F.col("_h") / block).cast("int").alias("homes"), F.ceil(F.col("_p") / block).cast("int").alias("probes")
+    placed = spark.createDataFrame([], f"level int, grp string, cell int, id {id_type}, vec {vec_type}, len double, n long, home boolean")
+    for k, p in enumerate(parts):
+        placed = placed.unionByName(p) if k else p
+    return placed, tables
+
+
+def cell_sizes(placed: DataFrame) -> DataFrame:
+    """(grp, level, cell, homes, probes) of the cells with rows at home."""
+    counts = placed.groupBy("grp", "level", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("probes"))
+    return counts.where(F.col("homes") > 0)
+
+
+def in_tasks(placed: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of every comparison: (grp, level, cell, probe, i, j) names it, ``side`` is 0 or 1 within it.
+
+    Cells are cut into blocks of about ``block`` rows.  Blocks at home meet each other once (probe false, i <= j); blocks that
+    look in meet every block at home (probe true).
+    """
+    counts = sizes.where(F.col("homes") + F.col("probes") > 1).select(
+        "grp", "level", "cell", F.ceil(F.col("homes") / block).cast("int").alias("homes"), F.ceil(F.col("probes") / block).cast("int").alias("probes")
     )
     # as many rows as there are cells: at most ``sample_rows`` per group and level
     rows = placed.join(F.broadcast(counts), ["grp", "level", "cell"])
@@ -375,7 +319,6 @@ def similar_pairs(
         )
 
     own = F.col("blk")
-    # home blocks meet each other once, i <= j; probing blocks meet every home block
     with_homes = F.transform(
         F.sequence(F.lit(0), F.col("homes") - 1),
         lambda o: task(False, F.least(own, o), F.greatest(own, o), (own > o).cast("int")),
@@ -385,22 +328,81 @@ def similar_pairs(
     ).otherwise(F.slice(with_homes, 1, 0))
     as_probe = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda o: task(True, own, o, F.lit(0)))
     tasks = F.when(F.col("home"), F.concat(with_homes, with_probes)).otherwise(as_probe)
-    spread = rows.select("grp", "level", "cell", "id", "vec", "code", "f", F.explode(tasks).alias("t")).select(
-        "grp", "level", "cell", "t.probe", "t.i", "t.j", "t.side", "id", "vec", "code", "f"
+    return rows.select("grp", "level", "cell", "id", "vec", "len", F.explode(tasks).alias("t")).select(
+        "grp", "level", "cell", "t.probe", "t.i", "t.j", "t.side", "id", "vec", "len"
     )
+
+
+def _best_pairs(a: np.ndarray, b: np.ndarray, rot: np.ndarray, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers in a and b and exact similarity of all pairs of at least ``floor``: codes choose, vectors decide."""
+    about, error = estimate(a, *encode(b, rot), rot)
+    maybe = about + Z_FLOOR * np.sqrt(1 - min(1.0, floor * floor)) * error[None, :] >= floor
+    if same:
+        maybe |= maybe.T  # either of a pair may have the tighter bound; keep what any of them admits
+        maybe &= np.tri(len(a), dtype=bool, k=-1).T
+    i, j = np.nonzero(maybe)
+    sims = np.empty(len(i))
+    for lo in range(0, len(i), 20_000):
+        s = slice(lo, lo + 20_000)
+        sims[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]])
+    keep = sims >= floor
+    return i[keep], j[keep], sims[keep]
+
+
+def _compare(floor: float, k: int, seed: int):
+    """Of every row of a comparison its ``k`` best partners of at least ``floor``."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        grp, _, _, probe, i, j = key
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not probe and i == j
+        if same:
+            right = left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0], "sim": np.zeros(0)})
+        unit = _unit(rows["vec"])
+        x, y, sims = _best_pairs(unit[left], unit[right], rotation(_dim(grp), seed), floor, same)
+        out = pd.DataFrame(
+            {"a": np.concatenate([ids[left[x]], ids[right[y]]]), "b": np.concatenate([ids[right[y]], ids[left[x]]]), "sim": np.concatenate([sims, sims])}
+        )
+        if not len(out):
+            return out
+        out = out.sort_values(["a", "sim", "b"], ascending=[True, False, True])
+        return out[out.groupby("a").cumcount() < k]
+
+    return run
+
+
+def similar_pairs(
+    reps: DataFrame,
+    floor: float,
+    k: int,
+    slack: float | None = None,
+    tight: float = 0.6,
+    sample_rows: int = 8_192,
+    levels: int = 12,
+    block: int = BLOCK,
+    seed: int = 11,
+) -> DataFrame:
+    """(a, b, sim) for every vector a: its ``k`` most similar vectors b with a similarity of at least ``floor``.
+
+    ``reps`` has grp, id, vec (usable, different vectors).  Comparisons are those of :func:`in_cells` and :func:`in_tasks`; a
+    task keeps k partners of each of its rows, so no cell emits all its pairs.  A smaller ``slack`` than the angle of the
+    floor looks into fewer cells.  Ties are ordered by b.
+    """
+    id_type = reps.schema["id"].dataType.simpleString()
+    rows = reps.select("grp", "id", "vec", F.lit(1.0).alias("len"), F.lit(1).cast("long").alias("n"))
+    placed, tables = in_cells(rows, floor, slack, tight, sample_rows, levels)
+    spread = in_tasks(placed, cell_sizes(placed), block)
     found = spread.groupBy("grp", "level", "cell", "probe", "i", "j").applyInPandas(
         _compare(floor, k, seed), f"a {id_type}, b {id_type}, sim double"
     )
-    found = materialize(found, "pairs")
-    maybe = found.where(F.col("sim").isNull()).select("a", "b")
-    found = found.where(F.col("sim").isNotNull())
-    if not maybe.isEmpty():
-        vec = reps.select("id", "vec")
-        across = maybe.join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b").select("a", "b", _cosine("va", "vb").alias("sim"))
-        across = materialize(across.where(F.col("sim") >= floor), "pairs")
-        found = found.unionByName(across).unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+    found = materialize(found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place"), "pairs")
+    for t in tables:
+        release(t)
+    return found
 
 
 # -- queries against all rows ------------------------------------------------------------------------
@@ -439,7 +441,9 @@ def _scan(queries, k: int, seed: int):
                     promising = np.zeros(about.shape, dtype=bool)
                     np.put_along_axis(promising, order, True, axis=1)
                     for chosen in (promising, ~promising):
-                        i, j = np.nonzero(chosen & (about + error[None, :] >= sims[:, -1:]) & (about > -9))
+                        least = sims[:, -1:]
+                        spread = Z_BEST * np.sqrt(1 - np.clip(least, 0, 1) ** 2)
+                        i, j = np.nonzero(chosen & (about + spread * error[None, :] >= least) & (about > -9))
                         exact = np.einsum("ij,ij->i", q[i], unit[j]) if len(i) else np.zeros(0)
                         for x in np.unique(i):
                             m = i == x

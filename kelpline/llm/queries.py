@@ -276,10 +276,8 @@ WHERE list_cosine_similarity(a.v, b.v) >= 0.74
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """All pairs within a group, as the definition of this query has it."""
     found = linkage.similarity_clusters(_vectors(spark, root), "id", "vec", "grp", order=["loaded_at"])
-    found = materialize(found, "clusters")
-    found = found.select("cluster", _src("id").alias("src"), _key("id").alias("key"))
-    pairs = found.alias("a").join(found.alias("b"), ["cluster", "src"]).where("a.key < b.key")
-    return pairs.select("src", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+    found = materialize(found.select("cluster", _src("id").alias("src"), _key("id").alias("key")), "clusters")
+    return linkage.cluster_pairs(found, ["cluster", "src"], "key").select("src", "key_a", "key_b")
 
 
 @query()
