@@ -12,8 +12,8 @@ Two plans share these codes:
 * :func:`nearest_to_queries`: a set of queries, in blocks, against one scan of all codes.
 * :func:`similar_pairs`: every vector against every other one above a similarity floor.  Vectors are
   put into cells around leaders of a bounded sample; vectors far from every leader stay open and are put
-  into cells of a next level.  By the triangle inequality of angles and the radius of each cell, measured
-  over its rows, a vector must look into few cells.
+  into cells of a next level.  By the radius of each cell and its rows' leaning towards other leaders, both
+  measured over all its rows, a vector must look into few cells.
   Cells are cut into blocks of bounded size and compared block by block, so a cell that holds a third
   of all rows is many tasks.
 
@@ -105,10 +105,11 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, group_col: str | No
         F.col(vec_col).cast("array<float>").alias("vec"),
         *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order or [])],
     )
-    bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0))
-    # adding 0 turns -0 into 0, so that equal vectors are equal arrays
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))
+    # no lambda runs over the entries: NaN is the greatest value, and a search that meets a null finds nothing, not false
+    least, most = F.array_min("vec"), F.array_max("vec")
+    inf, nan = float("inf"), F.lit(float("nan")).cast("float")
+    fine = ~F.isnan(most) & (most < inf) & (least > -inf) & ((most != 0) | (least != 0)) & F.array_contains("vec", nan).isNotNull()
+    rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & fine)
     once = rows.join(repeated, "id", "left_anti").select("grp", "id", "vec")
     often = latest_per_id(rows.join(repeated, "id", "left_semi"), "id", ["grp", "vec"], [f"_o{k}" for k in range(len(order or []))])
     return once.unionByName(often.select("grp", "id", "vec"))
@@ -168,7 +169,7 @@ def fit_cells(sample: np.ndarray, cover: float) -> np.ndarray:
 
 def _sample(rows: DataFrame, grp: str, n: int, size: int, level: int) -> np.ndarray:
     """At most ``size`` unit vectors of a group, chosen by a hash of the id."""
-    part = rows.where((F.col("grp") == grp) & F.col("home"))
+    part = rows.where(F.col("grp") == grp)
     if n > size:
         part = part.where(F.pmod(F.xxhash64("id", F.lit(5 + level)), F.lit(1_000_000)) < int(1.05e6 * size / n) + 1)
     got = part.select("vec").limit(size).toArrow()
@@ -183,53 +184,108 @@ def _sample(rows: DataFrame, grp: str, n: int, size: int, level: int) -> np.ndar
 # -- every vector against every vector above a floor -------------------------------------------------
 
 
-def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(unit.astype(np.float32) @ centres.T, -1, 1))
+def _cosines(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.clip(unit.astype(np.float32) @ centres.T, -1, 1)
 
 
-def _farthest(leaders, tight: float):
-    """(grp, cell, radius): the largest angle between a cell's leader and its own rows, per batch."""
+def _shapes(leaders, tight: float):
+    """(grp, cell, radius, lean) of what a task's rows do to their cells.
+
+    radius is the largest angle between a cell's leader c and its own rows y; lean holds, for every other leader
+    h, the largest part of a row along h beside c, that is (y.h - (h.c)(y.c)) / |h - (h.c)c|, as a byte from -1 to 1
+    that is rounded up.
+    """
     reach = np.arccos(np.clip(tight, -1, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        radius: dict[str, np.ndarray] = {}
+        lean: dict[str, dict[int, np.ndarray]] = {}
         for batch in batches:
             for grp, whole in batch.groupby("grp", sort=False):
                 centres = leaders.value.get(grp, ())
-                for lo in range(0, len(whole) if len(centres) else 0, 1024):
-                    cosine = _unit(whole["vec"].iloc[lo : lo + 1024]).astype(np.float32) @ centres.T
-                    radius = np.arccos(np.clip(cosine.max(1), -1, 1)).astype(float)
-                    found = pd.DataFrame({"grp": grp, "cell": cosine.argmax(1).astype(np.int32), "radius": radius})
-                    yield found[found["radius"] <= reach + ROUNDING].groupby(["grp", "cell"], as_index=False).max()
+                if not len(centres):
+                    continue
+                far, rows_of = radius.setdefault(grp, np.full(len(centres), -np.inf)), lean.setdefault(grp, {})
+                for lo in range(0, len(whole), 1024):
+                    cosine = _cosines(_unit(whole["vec"].iloc[lo : lo + 1024]), centres)
+                    own = cosine.argmax(1)
+                    angle = np.arccos(cosine[np.arange(len(own)), own]).astype(float)
+                    near = np.flatnonzero(angle <= reach + ROUNDING)
+                    near = near[np.argsort(own[near], kind="stable")]
+                    if not len(near):
+                        continue
+                    cell, at = np.unique(own[near], return_index=True)
+                    np.maximum.at(far, own[near], angle[near])
+                    across = centres[cell] @ centres.T
+                    beside = np.sqrt(np.maximum(1 - across**2, 1e-6))
+                    code = np.repeat(np.arange(len(cell)), np.diff(np.append(at, len(near))))
+                    part = (cosine[near] - across[code] * cosine[near, own[near]][:, None]) / beside[code]
+                    for c, top in zip(cell.tolist(), np.maximum.reduceat(part, at, axis=0)):
+                        rows_of[c] = np.maximum(rows_of[c], top) if c in rows_of else top
+        for grp, rows_of in lean.items():
+            cells = sorted(rows_of)
+            for lo in range(0, len(cells), 256):
+                some = cells[lo : lo + 256]
+                packed = [np.ceil((np.clip(rows_of[c], -1, 1) + 1) * 127).astype(np.uint8).tobytes() for c in some]
+                yield pd.DataFrame({"grp": grp, "cell": np.array(some, np.int32), "radius": radius[grp][some], "lean": packed})
 
     return run
 
 
-def _assign(leaders, radii, last: frozenset, tight: float, slack: float):
-    """Rows of one level to its cells.  ``leaders`` and ``radii`` are broadcasts of arrays by group."""
+def _joined_shapes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    lean = np.max([np.frombuffer(x, np.uint8) for x in rows["lean"]], axis=0)
+    return pd.DataFrame({"grp": [key[0]], "cell": [key[1]], "radius": [rows["radius"].max()], "lean": [lean.tobytes()]})
+
+
+def reachable(x_c: np.ndarray, x_h: np.ndarray, h_c: np.ndarray, radius: np.ndarray, lean: np.ndarray) -> np.ndarray:
+    """Upper bound of x.y over unit y within ``radius`` of c whose part along h beside c is at most ``lean``.
+
+    Only x.c, x.h and h.c are known of x.  In the plane of c and h and the rest, x is a point of a sphere and so is y;
+    the bound is the largest product over that region: at x itself, on either of its borders, or where these meet.
+    """
+    beside = np.sqrt(np.maximum(1 - h_c**2, 1e-6))
+    along = (x_h - h_c * x_c) / beside
+    rest = np.sqrt(np.maximum(0, 1 - x_c**2 - along**2))
+    q, wide = np.cos(radius), np.sin(radius)
+    thin, off_c, off_h = np.sqrt(np.maximum(0, 1 - lean**2)), np.sqrt(np.maximum(1e-12, 1 - x_c**2)), np.sqrt(np.maximum(1e-12, 1 - along**2))
+    bound = np.where((x_c >= q) & (along <= lean), 1.0, -1.0)
+    bound = np.where(along * wide <= lean * off_c, np.maximum(bound, x_c * q + off_c * wide), bound)
+    bound = np.where(x_c * thin >= q * off_h, np.maximum(bound, along * lean + off_h * thin), bound)
+    left = 1 - q**2 - lean**2
+    return np.where(left >= 0, np.maximum(bound, x_c * q + along * lean + rest * np.sqrt(np.maximum(0, left))), bound)
+
+
+def _assign(leaders, shapes, last: frozenset, tight: float, slack: float):
+    """Rows of one level to its cells.  ``leaders`` and ``shapes`` are broadcasts of arrays by group."""
     reach = np.arccos(np.clip(tight, -1, 1))
 
-    def place(unit: np.ndarray, at_home: np.ndarray, centres: np.ndarray, radius: np.ndarray):
+    def place(unit: np.ndarray, centres: np.ndarray, radius: np.ndarray, lean: np.ndarray):
         """(row, cell, home) of a block of rows."""
         n = len(unit)
         if not len(centres):
-            return np.arange(n), np.full(n, OPEN), at_home
-        angle = _angles(unit, centres)
-        nearest = angle.argmin(1)
+            return np.arange(n), np.full(n, OPEN), np.ones(n, dtype=bool)
+        cosine = _cosines(unit, centres)
+        nearest = cosine.argmax(1)
+        angle = np.arccos(cosine)
         near = angle[np.arange(n), nearest]
         is_open = near > reach
-        # a partner in another cell is within its radius of its leader, and no farther from it than from this one's;
-        # of two cells, the rows of the one with the larger number look into the other
-        bound = np.where(at_home & ~is_open, np.minimum(reach, near + slack), reach)
+        # a partner in another cell is within its radius of its leader, and no farther from it than from this one's; of
+        # two cells, the rows of the one with the larger number look into the other, and open rows look into all
+        bound = np.where(is_open, np.inf, near + slack)
         look = angle <= np.minimum(bound[:, None], radius[None, :]) + (slack + ROUNDING)
-        limit = np.where(at_home, np.where(is_open, -1, nearest), len(centres))
-        look &= np.arange(len(centres))[None, :] < limit[:, None]
+        look &= np.arange(len(centres))[None, :] < np.where(is_open, len(centres), nearest)[:, None]
         row, cell = np.nonzero(look)
-        home = np.flatnonzero(at_home)
-        # what may have a partner in the open cell goes there, too, to look
-        edge = np.flatnonzero(~at_home | (~is_open & (near + slack + ROUNDING > reach)))
-        rows = np.concatenate([home, row, edge])
-        cells = np.concatenate([np.where(is_open, OPEN, nearest)[home], cell, np.full(len(edge), OPEN)])
-        return rows, cells, np.arange(len(rows)) < len(home)
+        # the nearest leader tells more about a row than its angle to the cell's leader does
+        pivots, pivot = np.unique(nearest, return_inverse=True)
+        across = centres[pivots] @ centres.T
+        keep = np.ones(len(row), dtype=bool)
+        for lo in range(0, len(row), 200_000):
+            r, c = row[lo : lo + 200_000], cell[lo : lo + 200_000]
+            top = np.minimum(lean[c, nearest[r]].astype(np.float32) / 127 - 1 + ROUNDING, 1)
+            most = reachable(cosine[r, c], cosine[r, nearest[r]], across[pivot[r], c], radius[c] + ROUNDING, top)
+            keep[lo : lo + 200_000] = (most >= np.cos(slack) - ROUNDING) | (c == nearest[r])
+        rows = np.concatenate([np.arange(n), row[keep]])
+        return rows, np.concatenate([np.where(is_open, OPEN, nearest), cell[keep]]), np.arange(len(rows)) < n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -237,53 +293,56 @@ def _assign(leaders, radii, last: frozenset, tight: float, slack: float):
                 centres = leaders.value.get(grp, np.zeros((0, _dim(grp)), dtype=np.float32))
                 for lo in range(0, len(whole), 1024):
                     rows = whole.iloc[lo : lo + 1024]
-                    row, cell, home = place(_unit(rows["vec"]), rows["home"].to_numpy(dtype=bool), centres, radii.value.get(grp))
-                    onward = (cell == OPEN) & (grp not in last)
+                    row, cell, home = place(_unit(rows["vec"]), centres, *shapes.value.get(grp, (None, None)))
                     for k in range(0, len(row), 4096):
                         s = slice(k, k + 4096)
-                        yield rows.iloc[row[s]].assign(cell=cell[s].astype(np.int32), home=home[s], next=onward[s])
+                        onward = (cell[s] == OPEN) & (grp not in last)
+                        yield rows.iloc[row[s]].assign(cell=cell[s].astype(np.int32), home=home[s], next=onward)
 
     return run
 
 
 def in_cells(
-    rows: DataFrame, floor: float, slack: float | None = None, tight: float = 0.6, sample_rows: int = 8_192, levels: int = 12
+    rows: DataFrame, floor: float, slack: float | None = None, tight: float = 0.6, sample_rows: int = 4_096, levels: int = 12
 ) -> tuple[DataFrame, list[DataFrame]]:
     """``rows`` (grp, id, vec, len, n) with level, cell and home, and the tables behind them, for release.
 
-    Every vector is at home in one cell and looks into the other cells that may hold a partner of at least ``floor``.
+    Every vector is at home in one cell and looks into the other cells that may hold a partner of at least ``floor``: by the
+    cell's radius, and by how far its rows lean towards the leader of the vector's own cell (see :func:`reachable`).
     The leaders of a level are fitted on at most ``sample_rows`` vectors of a group; every vector is placed.
-    Vectors that are far from all leaders stay open and get leaders of their own on the next level, until
-    at most ``sample_rows`` are open or a level takes in less than a tenth; these are one last cell.
+    Vectors that are far from all leaders stay open: they look into this level's cells, and get leaders of their own on the
+    next level, until at most ``sample_rows`` are open or a level takes in less than a tenth; these are one last cell.
     ``slack`` is the angle, in radians, by which a partner may differ; by default the angle of
     ``floor``, at which no pair is missed by the cells.
     """
     slack = float(np.arccos(np.clip(floor, -1, 1))) if slack is None else slack
     spark, id_type, vec_type = rows.sparkSession, *(rows.schema[c].dataType.simpleString() for c in ("id", "vec"))
-    carried = f"grp string, id {id_type}, vec {vec_type}, len double, n long, home boolean"
-    todo, parts, tables, before = rows.select("grp", "id", "vec", "len", "n", F.lit(True).alias("home")), [], [], {}
+    carried = f"grp string, id {id_type}, vec {vec_type}, len double, n long"
+    todo, parts, tables, before = rows.select("grp", "id", "vec", "len", "n"), [], [], {}
     for level in range(levels):
-        sizes = {r["grp"]: r["n"] for r in todo.groupBy("grp").agg(F.count_if("home").alias("n")).collect()}  # one row a group
-        sizes = {g: n for g, n in sizes.items() if n}
+        sizes = {r["grp"]: r["n"] for r in todo.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a group
         if not sizes:
             break
         stuck = {g for g, n in sizes.items() if g in before and (n <= sample_rows or n > 0.9 * before[g])}
         last = frozenset(sizes if level == levels - 1 else stuck)
         leaders = {g: fit_cells(_sample(todo, g, n, sample_rows, level), tight) for g, n in sizes.items() if g not in last}
         sent = spark.sparkContext.broadcast(leaders)
-        far = todo.where("home").select("grp", "vec").mapInPandas(_farthest(sent, tight), "grp string, cell int, radius double")
-        radii = {g: np.full(len(c), -np.inf, dtype=np.float32) for g, c in leaders.items()}  # a cell without rows is not looked into
-        for r in far.groupBy("grp", "cell").agg(F.max("radius").alias("radius")).toLocalIterator():  # at most one row a leader
-            radii[r["grp"]][r["cell"]] = r["radius"]
+        schema = "grp string, cell int, radius double, lean binary"
+        told = todo.select("grp", "vec").mapInPandas(_shapes(sent, tight), schema)
+        shapes = {g: (np.full(len(c), -np.inf, np.float32), np.zeros((len(c), len(c)), np.uint8)) for g, c in leaders.items()}
+        # at most one row a leader, with a byte a leader; a cell without rows is not looked into
+        for r in told.groupBy("grp", "cell").applyInPandas(_joined_shapes, schema).toLocalIterator():
+            radius, lean = shapes[r["grp"]]
+            radius[r["cell"]], lean[r["cell"]] = r["radius"], np.frombuffer(r["lean"], np.uint8)
         del leaders
-        sent_radii = spark.sparkContext.broadcast(radii)
-        open_only = todo.where(F.col("grp").isin(list(sizes)))  # who only looks has nothing to look at elsewhere
-        placed = materialize(open_only.mapInPandas(_assign(sent, sent_radii, last, tight, slack), f"{carried}, cell int, next boolean"), "cells")
+        sent_shapes = spark.sparkContext.broadcast(shapes)
+        del shapes
+        placed = materialize(todo.mapInPandas(_assign(sent, sent_shapes, last, tight, slack), f"{carried}, cell int, home boolean, next boolean"), "cells")
         tables.append(placed)
         sent.destroy()  # the cells are written
-        sent_radii.destroy()
+        sent_shapes.destroy()
         parts.append(placed.where("not next").select(F.lit(level).alias("level"), "grp", "cell", "id", "vec", "len", "n", "home"))
-        todo = placed.where("next").select("grp", "id", "vec", "len", "n", "home")
+        todo = placed.where("next").select("grp", "id", "vec", "len", "n")
         before = sizes
         if last == frozenset(sizes):
             break
@@ -380,7 +439,7 @@ def similar_pairs(
     k: int,
     slack: float | None = None,
     tight: float = 0.6,
-    sample_rows: int = 8_192,
+    sample_rows: int = 4_096,
     levels: int = 12,
     block: int = BLOCK,
     seed: int = 11,
