@@ -101,6 +101,27 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root).select("src", "row_id", "piece_pos", "start_pos", "end_pos", "cut", "piece")
 
 
+@query("""
+WITH t AS (SELECT DISTINCT 'chunks' AS src, chunk_id AS row_id, content AS text FROM chunks WHERE length(content) > 0
+UNION ALL SELECT 'lyrics_sample', song_id, lyrics FROM lyrics_sample WHERE length(lyrics) > 0)
+SELECT src, row_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest, TRUE AS within, TRUE AS in_order FROM t
+""")
+def p3_rebuilt(spark: SparkSession, root: str) -> DataFrame:
+    """Every text put together from its pieces, each without what it shares with the one before."""
+    pieces = _pieces(spark, root)
+    of_text = F.array_sort(F.collect_list(F.struct("piece_pos", "start_pos", "end_pos", "piece")))  # the pieces of one text
+    rows = pieces.groupBy("src", "row_id").agg(of_text.alias("p"))
+    rows = rows.withColumn("before", F.concat(F.array(F.lit(0)), F.slice(F.col("p.end_pos"), 1, F.size("p") - 1)))
+    fresh = F.zip_with("p", "before", lambda x, b: F.substr(x["piece"], b - x["start_pos"] + 1))
+    shared = F.zip_with("p", "before", lambda x, b: (b >= x["start_pos"]) & (b - x["start_pos"] <= 100) & (x["end_pos"] > b))
+    within = F.forall("p", lambda x: (x["end_pos"] - x["start_pos"] <= 1500) & (F.length(x["piece"]) == x["end_pos"] - x["start_pos"]))
+    text = F.array_join(fresh, "")
+    return rows.select(
+        "src", "row_id", F.length(text).alias("n_chars"), F.md5(text.cast("binary")).alias("digest"), within.alias("within"),
+        F.forall(shared, lambda ok: ok).alias("in_order"),
+    )
+
+
 # 4 -- characteristic terms -------------------------------------------------------------------------
 
 _WEIGHTS = """

@@ -4,7 +4,7 @@ Every position of a text at which it could be cut has a strength: after a stanza
 after a sentence 2, after a word 1.  A sparse table over these strengths answers the strongest cut of
 any permissible length window in constant time; equal strengths are resolved to the right, which is
 built into the key ``strength * (n + 1) + index``.  The next piece begins up to ``overlap`` characters
-before the cut, at the first word start of that stretch.
+before the cut, at the first word start of that stretch; where there is none, all of the overlap.
 """
 
 from __future__ import annotations
@@ -23,10 +23,18 @@ _KIND = {STANZA: "stanza", LINE: "line", SENTENCE: "sentence", WORD: "word", NON
 _GAP = re.compile(r"\s+")
 _BLANK_LINE = re.compile("\\n[^\\S\\n]*\\n|\\r[^\\S\\r\\n]*\\r|\\u2029")
 _LINE = re.compile("[\\n\\r\\v\\f\\x85\\u2028]")
-_ENDS_SENTENCE = re.compile(r"[.!?…。！？।؟][\"'”’»)\]」』）]*$")
+_ENDS = frozenset(".!?…。！？।؟")
+_CLOSES = frozenset("\"'”’»)]」』）")
 _WIDE_END = re.compile(r"[。！？][”’」』）]*")
 
 
+def _ends_sentence(text: str, end: int) -> bool:
+    """An end mark stands before ``end``, with any number of closing marks behind it."""
+    while end and text[end - 1] in _CLOSES:
+        end -= 1
+    return end > 0 and text[end - 1] in _ENDS
+
+
 def cut_points(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions (ascending) after which a piece may end, with their strengths.
 
@@ -41,7 +49,7 @@ def cut_points(text: str) -> tuple[np.ndarray, np.ndarray]:
         elif _LINE.search(gap):
             s = LINE
         else:
-            s = SENTENCE if _ENDS_SENTENCE.search(text, max(0, m.start() - 8), m.start()) else WORD
+            s = SENTENCE if _ends_sentence(text, m.start()) else WORD
         strength[m.end()] = s
     for m in _WIDE_END.finditer(text):
         strength.setdefault(m.end(), SENTENCE)
@@ -87,9 +95,9 @@ def split_text(text: str, limit: int, overlap: int, shortest: int) -> list[tuple
             best = table.query(int(np.searchsorted(at, start + overlap + 1)), right)
         end, kind = (start + limit, NONE) if best is None else (int(at[best]), int(strength[best]))
         pieces.append((start, end, _KIND[kind]))
-        # the first word start within the overlap; where there is none, step back by all of it
+        # the first word start within the overlap; where there is none before the cut itself, step back by all of it
         k = int(np.searchsorted(at, end - overlap))
-        back = int(at[k]) if k < len(at) and at[k] <= end else end - overlap
+        back = int(at[k]) if k < len(at) and at[k] < end else end - overlap
         start = max(back, start + 1)
     pieces.append((start, n, "end"))
     return pieces

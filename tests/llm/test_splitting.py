@@ -35,6 +35,25 @@ def test_pieces_cover_the_text(text, limit):
         assert rebuilt == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aaab. \n。é", max_size=400), st.integers(10, 40))
+def test_pieces_share_what_they_can(text, limit):
+    """A word start within the overlap, the first one, or else exactly the overlap."""
+    overlap, shortest = limit // 5, limit // 2
+    at, _ = sp.cut_points(text)
+    pieces = sp.split_text(text, limit, overlap, shortest)
+    for (start, end, _), (nxt, *_) in zip(pieces, pieces[1:]):
+        starts = [p for p in at.tolist() if end - overlap <= p < end]
+        assert nxt == max(starts[0] if starts else end - overlap, start + 1)
+
+
+def test_overlap_without_word_starts():
+    for text in ("x" * 130 + " ") * 40, ("山" * 130 + "。") * 40:
+        pieces = sp.split_text(text, 1500, 100, 750)
+        assert len(pieces) > 3 and all(b - c == 100 for (_, b, _), (c, *_) in zip(pieces, pieces[1:]))
+    assert sp.cut_points('Go.""""""""""""" Then')[1].tolist() == [sp.SENTENCE]
+
+
 def test_strongest_boundary_wins():
     text = "aa bb. cc\ndd ee\n\nff gg hh ii jj"
     (_, end, kind), *_ = sp.split_text(text, 24, 0, 8)
