@@ -184,14 +184,14 @@ def _marked(spark: SparkSession, root: str) -> DataFrame:
     span = chunks.agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("b")).first()
     store = term_counts.TermCounts(spark)
     if span["a"] is None:  # no rows, or none with a time
-        store.apply(term_counts.record_changes(None, chunks, "chunk_id", "content", ["loaded_at"]))
+        store.apply(term_counts.record_changes(None, chunks, "chunk_id", "content", ["loaded_at"]), "all")
     else:
         cut = F.lit(span["a"] + 0.75 * (span["b"] - span["a"]))
         timeless = F.col("loaded_at").isNull()
         first, later = chunks.where((F.col("loaded_at") <= cut) | timeless), chunks.where(F.col("loaded_at") > cut)
-        store.apply(term_counts.record_changes(None, first, "chunk_id", "content", ["loaded_at"]))
+        store.apply(term_counts.record_changes(None, first, "chunk_id", "content", ["loaded_at"]), "first")
         known = first.join(later.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        store.apply(term_counts.record_changes(known, later, "chunk_id", "content", ["loaded_at"]))
+        store.apply(term_counts.record_changes(known, later, "chunk_id", "content", ["loaded_at"]), "later")
     return term_counts.marked_terms(store, table(spark, root, "codebook").where("modality = 'text'"))
 
 

@@ -4,15 +4,21 @@ A record that is added contributes +1 for every occurrence, a deleted one -1, an
 Only the records of a batch are read; their changes are summed by term before and after the shuffle
 and appended to a partitioned table.  The counts of a term are the sum of its changes; ``compact``
 folds the batches into one.
+
+What counts is named by a manifest, written last and under a new number, so a batch or a compaction that
+stops half-way leaves the counts as they were; its folder is not read.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import check_columns, clean_term, latest_per_id, terms_of
-from kelpline.runtime import new_path
+from kelpline.runtime import new_path, range_partitions
 
 #: The row of a batch that holds the change of the number of records; no term is empty.
 TOTAL = ""
@@ -65,28 +71,58 @@ def signed_deltas(changes: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """Persistent counts in ``path``: one folder per batch, partitioned by a hash of the term."""
+    """Persistent counts in ``path``: one folder per batch, partitioned by a hash of the term.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or new_path(spark, "term-counts")
-        self._next = 0
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        if self._fs.exists(hadoop):
-            names = [x.getPath().getName() for x in self._fs.listStatus(hadoop)]
-            self._next = 1 + max([int(n.split("=")[1]) for n in names if n.startswith("batch=")], default=-1)
-
-    def _write(self, rows: DataFrame, batch: int) -> None:
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.path}/batch={batch}"
-        )
+    ``buckets``, the number of partitions, is fixed when the store is made; by default as many as shuffles have.
+    There is one writer at a time.
+    """
 
-    def apply(self, changes: DataFrame) -> None:
-        """Add a batch of changes; a batch becomes visible when it is complete."""
-        self._write(signed_deltas(changes), self._next)
-        self._next += 1
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.path = path or new_path(spark, "term-counts")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._state = {"number": 0, "buckets": buckets or range_partitions(spark), "folders": [], "batches": []}
+        numbers = self._manifests()
+        if numbers:
+            lines = spark.read.text(f"{self.path}/manifest-{numbers[-1]}.json").collect()  # one short file
+            self._state = json.loads("\n".join(r["value"] for r in lines))
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _manifests(self) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(""))]
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _write(self, rows: DataFrame) -> str:
+        """A new folder that nothing names yet."""
+        folder, buckets = f"changes-{uuid.uuid4().hex[:12]}", self._state["buckets"]
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        rows.withColumn("bucket", bucket).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _publish(self, folders: list[str], batches: list[str]) -> None:
+        told = self._state | {"number": self._state["number"] + 1, "folders": folders, "batches": batches}
+        final = self._at(f"manifest-{told['number']}.json")
+        draft = self._at(f"draft-{uuid.uuid4().hex[:12]}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(told).encode()))
+        out.close()
+        if not self._fs.rename(draft, final):
+            raise RuntimeError(f"another writer has published {final}")
+        self._state = told
+        for n in self._manifests():
+            if n < told["number"]:
+                self._fs.delete(self._at(f"manifest-{n}.json"), False)
+
+    def apply(self, changes: DataFrame, batch: str | None = None) -> None:
+        """Add a batch of changes.  A batch whose name was applied before changes nothing."""
+        if batch is not None and batch in self._state["batches"]:
+            return
+        folder = self._write(signed_deltas(changes))
+        self._publish([*self._state["folders"], folder], [*self._state["batches"], *([batch] if batch is not None else [])])
 
     def counts(self) -> DataFrame:
         """(term, occurrences, records) of every term that occurs."""
@@ -98,20 +134,18 @@ class TermCounts:
 
     def _summed(self) -> DataFrame:
         schema = "term string, occurrences long, records long"
-        if self._next == 0:
+        if not self._state["folders"]:
             return self.spark.createDataFrame([], schema)
-        batches = [f"{self.path}/batch={b}" for b in range(self._next)]
-        batches = [b for b in batches if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(b))]
-        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*batches)
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{f}" for f in self._state["folders"]])
         return rows.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
     def compact(self) -> None:
-        """Fold all batches into a new one and remove the old ones."""
-        old = range(self._next)
-        self._write(self._summed().where((F.col("occurrences") != 0) | (F.col("records") != 0)), self._next)
-        for b in old:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}"), True)
-        self._next += 1
+        """Fold all batches into one folder; folders that the new manifest does not name are removed after it is written."""
+        folder = self._write(self._summed().where((F.col("occurrences") != 0) | (F.col("records") != 0)))
+        self._publish([folder], self._state["batches"])
+        for x in self._fs.listStatus(self._at("")):
+            if x.getPath().getName().startswith("changes-") and x.getPath().getName() != folder:
+                self._fs.delete(x.getPath(), True)
 
 
 def marked_terms(

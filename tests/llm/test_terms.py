@@ -75,6 +75,36 @@ def test_changes_give_what_a_recount_gives(spark, tmp_path):
     assert counted(store) == {} and store.n_records() == 0
 
 
+def test_batches_count_once_and_stops_lose_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/counts"
+    rows = spark.createDataFrame([(1, "a b b"), (2, "b c")], "id long, t string")
+    store = tc.TermCounts(spark, path, buckets=2)
+    for _ in range(2):  # the second time it is known
+        store.apply(tc.record_changes(None, rows, "id", "t"), "monday")
+    tc.TermCounts(spark, path).apply(tc.record_changes(None, rows, "id", "t"), "monday")
+    more = spark.createDataFrame([(3, "c")], "id long, t string")
+    store.apply(tc.record_changes(None, more, "id", "t"), "tuesday")
+    want = {"a": (1, 1), "b": (3, 2), "c": (2, 2)}
+    assert counted(store) == want and store.n_records() == 3
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_publish", "_write"):
+        with monkeypatch.context() as m:
+            m.setattr(tc.TermCounts, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                store.compact()
+            with pytest.raises(KeyboardInterrupt):
+                store.apply(tc.record_changes(None, more, "id", "t"), "wednesday")
+        assert counted(store) == counted(tc.TermCounts(spark, path)) == want
+    store.compact()
+    again = tc.TermCounts(spark, path)
+    assert counted(again) == want and len([x for x in (tmp_path / "counts").iterdir() if x.name.startswith("changes-")]) == 1
+    again.apply(tc.record_changes(None, rows, "id", "t"), "monday")
+    assert counted(again) == want
+
+
 def test_marks(spark, book):
     rows = spark.createDataFrame([(i, "azul " + ("poco" if i < 3 else "") + (" rojo" if i < 2 else "")) for i in range(20)], "id long, t string")
     store = tc.TermCounts(spark)
