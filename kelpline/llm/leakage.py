@@ -1,11 +1,12 @@
 """Evaluation passages inside a corpus: a prefix-filtered set join with exact verification.
 
 A document leaks an item if both share ``window`` consecutive words.  Every window of a passage holds
-``window - shingle + 1`` word shingles, and a document that contains the window contains them all, so
-one of them is a sufficient prefix to join on: the rarest in the corpus.  The shingles of the passages
-are counted over all documents, each window keeps its rarest one (a window with a shingle that no
-document holds is gone), documents are matched on these few, the position must leave room for the
-whole window, and the words of the window are compared.
+``window - shingle + 1`` word shingles in a row, and a document that contains the window contains them all.
+One pass over the corpus, whatever the number of items, keeps the stretches of at least so many shingles in a row that
+may belong to passages, told by a sketch of bounded size; the rest of a text cannot leak.  The shingles of these
+stretches are counted, every window of a passage keeps its rarest one as its prefix (a window with a shingle that
+no stretch holds is gone), stretches and prefixes are joined, the position must leave room for the whole
+window within the stretch, and the words of the window are compared.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import check_columns
+from kelpline.runtime import materialize
 
-#: Passages are sent to the tasks in blocks of at most so many words, one pass over the corpus per block.
-BLOCK_WORDS = 2_000_000
+#: The sketch of the passages' shingles has 16 bits for each, but no more than these: 32 MB.
+MOST_BITS = 1 << 28
 
 
 @lru_cache(maxsize=1)
@@ -66,40 +68,120 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _document_shingles(texts: pd.Series, size: int, least: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(row, words, shingle hashes) of the texts with at least ``least`` words; words are hashed once per batch."""
-    words = [plain_words(t) for t in texts]
-    flat = word_hashes([w for ws in words for w in ws])
-    at = 0
-    for row, ws in enumerate(words):
-        if len(ws) >= least:
-            yield row, ws, shingle_hashes(flat[at : at + len(ws)], size)
-        at += len(ws)
-
-
-def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), dtype=bool)
-    at = np.searchsorted(sorted_values, x)
-    at[at == len(sorted_values)] = 0
-    return sorted_values[at] == x
-
-
-def _item_blocks(items: DataFrame, id_col: str, passage_col: str, window: int) -> Iterator[list[tuple]]:
-    """Blocks of (item id, words); items are streamed to the driver, one block is held at a time."""
-    block, words = [], 0
-    rows = items.select(id_col, passage_col).where(F.col(passage_col).isNotNull() & F.col(id_col).isNotNull()).distinct()
-    for key, passage in rows.toLocalIterator():
-        found = plain_words(passage)
-        if len(found) < window:
-            continue
-        block.append((key, found))
-        words += len(found)
-        if words >= BLOCK_WORDS:
-            yield block
-            block, words = [], 0
-    if block:
-        yield block
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of every hash in a sketch of ``bits``, a power of two."""
+    with np.errstate(over="ignore"):
+        second = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h & np.uint64(bits - 1), (second >> np.uint64(17)) & np.uint64(bits - 1)
+
+
+def _holds(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bits = len(sketch) * 64
+    found = np.ones(len(h), dtype=bool)
+    for at in _places(h, bits):
+        found &= (sketch[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def _sketch(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """Bits of all hashes; built by the executors, word by word."""
+    n = hashes.count()
+    bits = min(most_bits, 1 << max(10, (16 * n - 1).bit_length()))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.concatenate(_places(batch["h"].to_numpy().view(np.uint64), bits))
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "value": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    told = hashes.mapInPandas(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    rows = iter(told.toLocalIterator())  # at most as many as the sketch has words
+    while part := [tuple(r) for _, r in zip(range(100_000), rows)]:
+        word, value = np.array(part, dtype=np.int64).T
+        out[word] = value.view(np.uint64)
+    return out
+
+
+def _stretches(sketch, window: int, shingle: int):
+    """(doc, at, words): stretches of words that may hold a window, with the place of their first word."""
+    per = window - shingle + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [plain_words(t) for t in batch["text"]]
+            size = np.array([len(w) for w in words])
+            first = np.cumsum(size) - size
+            flat = [w for ws in words for w in ws]
+            h = shingle_hashes(word_hashes(flat), shingle)
+            held = _holds(sketch.value, h)
+            for k in range(1, shingle):  # shingles over the end of a text
+                over = first[1:] - k
+                held[over[(over >= 0) & (over < len(held))]] = False
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]])))
+            # two texts may touch: a stretch ends where its text does, as the shingles over the end are not held
+            begin, end = edge[::2], edge[1::2]
+            long = end - begin >= per
+            begin, end = begin[long], end[long]
+            row = np.searchsorted(first, begin, side="right") - 1
+            docs = batch["doc"].to_numpy()
+            if not len(begin):
+                continue
+            yield pd.DataFrame(
+                {"doc": docs[row], "at": begin - first[row], "words": [flat[a : b + shingle - 1] for a, b in zip(begin.tolist(), end.tolist())]}
+            )
+
+    return run
+
+
+def _item_words(window: int, shingle: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [plain_words(t) for t in batch["passage"]]
+            keep = [k for k, w in enumerate(words) if len(w) >= window]
+            words = [words[k] for k in keep]
+            if not keep:
+                continue
+            h = [shingle_hashes(word_hashes(w), shingle).view(np.int64) for w in words]
+            yield pd.DataFrame({"item": batch["item"].to_numpy()[keep], "words": words, "h": h})
+
+    return run
+
+
+def _shingles_of(window: int, shingle: int):
+    """(h, doc, at, back, around) of every shingle of the stretches: its place in the text and the words around it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, at, words in zip(batch["doc"], batch["at"], batch["words"]):
+                words = list(words)
+                for k, h in enumerate(shingle_hashes(word_hashes(words), shingle).view(np.int64).tolist()):
+                    lo = max(0, k - (window - shingle))
+                    out.append((h, doc, at + k, k - lo, words[lo : k + window]))
+            if out:
+                yield pd.DataFrame(out, columns=["h", "doc", "at", "back", "around"])
+
+    return run
+
+
+def _prefixes(window: int, shingle: int):
+    """(h, item, s, off, words): of every window of a passage, from word s, its rarest shingle, at s + off."""
+    per = window - shingle + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, words, told in zip(batch["item"], batch["words"], batch["told"]):
+                words, h, n = list(words), [t["h"] for t in told], np.array([t["n"] for t in told])
+                for s in range(len(h) - per + 1):
+                    part = n[s : s + per]
+                    if part.min() > 0:
+                        off = int(part.argmin())
+                        out.append((h[s + off], item, s, off, words[s : s + window]))
+            if out:
+                yield pd.DataFrame(out, columns=["h", "item", "s", "off", "words"])
+
+    return run
 
 
 def leaked_items(
@@ -111,6 +193,7 @@ def leaked_items(
     passage_col: str,
     window: int = 12,
     shingle: int = 5,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """(``doc_col``, ``item_col``, n_windows, first_word): one row for every leaked item of every document.
 
@@ -118,76 +201,35 @@ def leaked_items(
     document.  Words are runs of letters and digits without case, accents and invisible characters.
     Passages or documents that are null, empty or shorter than a window have no rows; repeated rows of
     an id count once; an empty table on either side gives an empty result.  Other columns are ignored.
+    ``most_bits``, a power of two, bounds the sketch; a small one lets more through, and changes no result.
     """
     check_columns(corpus, doc_col, text_col)
     check_columns(items, item_col, passage_col)
-    if not 0 < shingle <= window:
-        raise ValueError("0 < shingle <= window must hold")
+    if not 1 < shingle <= window:
+        raise ValueError("1 < shingle <= window must hold")
     spark = corpus.sparkSession
-    rows = corpus.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where(
-        F.col("doc").isNotNull() & (F.length("text") >= 2 * window - 1)  # so many characters a window has at least
-    )
-    doc_type = rows.schema["doc"].dataType.simpleString()
-    item_type = items.schema[item_col].dataType.simpleString()
-    schema = f"doc {doc_type}, item {item_type}, window_hash long, first_word long"
-    parts: list[DataFrame] = []
-    for block in _item_blocks(items, item_col, passage_col, window):
-        grams = [shingle_hashes(word_hashes(words), shingle) for _, words in block]
-        known = spark.sparkContext.broadcast(np.unique(np.concatenate(grams)))
-
-        def count(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                held = [
-                    np.unique(h[_member(known.value, h)])
-                    for _, _, h in _document_shingles(batch["text"], shingle, window)
-                ]
-                values, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-                yield pd.DataFrame({"hash": values.view(np.int64), "n": n.astype(np.int64)})
-
-        counted = rows.select("text").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        frequency = {h: n for h, n in counted.toLocalIterator()}  # at most the shingles of one block of passages
-        prefix: dict[int, list[tuple[int, int, int]]] = {}
-        for k, g in enumerate(grams):
-            seen = np.array([frequency.get(h, 0) for h in g.view(np.int64).tolist()], dtype=np.int64)
-            per = window - shingle + 1
-            for s in range(len(g) - per + 1):
-                part = seen[s : s + per]
-                off = int(part.argmin())
-                if part[off] > 0:
-                    prefix.setdefault(int(g[s + off]), []).append((k, s, off))
-        if not prefix:
-            continue
-        joined = spark.sparkContext.broadcast((np.array(sorted(prefix), dtype=np.uint64), prefix, block))
-
-        def match(batches: Iterator[pd.DataFrame], joined=joined) -> Iterator[pd.DataFrame]:
-            keys, where, passages = joined.value
-            for batch in batches:
-                out: dict[tuple, tuple] = {}
-                docs = batch["doc"].to_list()
-                for row, words, h in _document_shingles(batch["text"], shingle, window):
-                    for p in np.flatnonzero(_member(keys, h)).tolist():
-                        for k, s, off in where[int(h[p])]:
-                            a = p - off
-                            if a < 0 or a + window > len(words):
-                                continue
-                            item, passage = passages[k]
-                            if words[a : a + window] == passage[s : s + window]:
-                                key = (docs[row], item, s)
-                                out[key] = min(out.get(key, a), a)
-                yield pd.DataFrame(
-                    [(d, i, s, a) for (d, i, s), a in out.items()], columns=["doc", "item", "window_hash", "first_word"]
-                )
-
-        parts.append(rows.mapInPandas(match, schema))
-    if not parts:
-        return spark.createDataFrame(
-            [], f"`{doc_col}` {doc_type}, `{item_col}` {item_type}, n_windows long, first_word long"
-        )
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    # no bound on the length: one character can be several words when it is taken apart
+    rows = corpus.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") > 0))
+    asked = items.select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage"))
+    asked = asked.where(F.col("item").isNotNull() & F.col("passage").isNotNull()).distinct()
+    doc_type, item_type = rows.schema["doc"].dataType.simpleString(), asked.schema["item"].dataType.simpleString()
+    passages = asked.mapInPandas(_item_words(window, shingle), f"item {item_type}, words array<string>, h array<long>")
+    passages = materialize(passages, "passages")
+    known = passages.select(F.explode("h").alias("h")).distinct()
+    sketch = spark.sparkContext.broadcast(_sketch(known, most_bits))
+    held = rows.mapInPandas(_stretches(sketch, window, shingle), f"doc {doc_type}, at long, words array<string>")
+    held = materialize(held, "stretches")
+    sketch.destroy()
+    grams = held.mapInPandas(_shingles_of(window, shingle), f"h long, doc {doc_type}, at long, back int, around array<string>")
+    counts = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    place = passages.select("item", "words", F.posexplode("h").alias("pos", "h")).join(counts, "h", "left")
+    told = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: F.struct(x["h"], x["n"]))
+    # one row a passage: a passage's shingles come together again
+    rarity = place.groupBy("item", "words").agg(told.alias("told"))
+    prefixes = rarity.mapInPandas(_prefixes(window, shingle), f"h long, item {item_type}, s int, off int, words array<string>")
+    found = grams.join(prefixes, "h").where("back >= off").where(F.slice("around", F.col("back") - F.col("off") + 1, window) == F.col("words"))
     return (
         found.groupBy("doc", "item")
-        .agg(F.countDistinct("window_hash").alias("n_windows"), F.min("first_word").alias("first_word"))
+        .agg(F.countDistinct("s").alias("n_windows"), F.min(F.col("at") - F.col("off")).alias("first_word"))
         .select(F.col("doc").alias(doc_col), F.col("item").alias(item_col), "n_windows", "first_word")
     )

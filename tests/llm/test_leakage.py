@@ -48,14 +48,20 @@ def test_cases(spark):
     assert set(got) == brute([d for d in docs if d[0] is not None], items)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_like_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, bits", [(0, 1 << 20), (1, 64), (2, 256)])  # small sketches let nearly everything through
+def test_like_brute_force(spark, seed, bits):
     rng = random.Random(seed)
     text = lambda n: " ".join(rng.choice("a b c d e".split()) for _ in range(n))
     items = [(i, text(rng.randint(3, 25))) for i in range(25)]
     docs = [(i, text(rng.randint(0, 60)) + " " + rng.choice(items)[1]) for i in range(40)]
-    monkeypatch.setattr(lk, "BLOCK_WORDS", 60)  # several blocks of passages
-    assert set(run(spark, docs, items, window=6, shingle=3)) == brute(docs, items, 6)
+    assert set(run(spark, docs, items, window=6, shingle=3, most_bits=bits)) == brute(docs, items, 6)
+
+
+def test_short_texts_of_many_words(spark):
+    """One character can be two words."""
+    halves = "½ ⅓ ¼ ⅕ ⅙ ⅐"
+    assert len(lk.plain_words(halves)) == 12
+    assert run(spark, [(1, halves), (2, halves[:-2])], [(1, "so 1 2 1 3 1 4 1 5 1 6 1 7 it is")]) == {(1, 1): (1, 0)}
 
 
 def test_nothing(spark):
