@@ -227,6 +227,7 @@ def leaked_items(
     # one row a passage: a passage's shingles come together again
     rarity = place.groupBy("item", "words").agg(told.alias("told"))
     prefixes = rarity.mapInPandas(_prefixes(window, shingle), f"h long, item {item_type}, s int, off int, words array<string>")
+    prefixes = materialize(prefixes, "prefixes")  # with a known size: small ones are sent, and no shingle is shuffled
     found = grams.join(prefixes, "h").where("back >= off").where(F.slice("around", F.col("back") - F.col("off") + 1, window) == F.col("words"))
     return (
         found.groupBy("doc", "item")
