@@ -31,6 +31,8 @@ from kelpline.runtime import materialize
 
 #: Keys below this share of a language's tokens are left out of the model, so it has at most a million keys a kind.
 LEAST_SHARE = 1e-6
+#: Dunning's ratio at which a word is judged to begin sentences more or less often than words do: one in two hundred by chance.
+STARTER_RATIO = 7.88
 ANY = "*"
 
 
@@ -236,7 +238,8 @@ def log_likelihood(k: int, n: int, p: float) -> float:
 
 @dataclass
 class SentenceModel:
-    """Per language: words written small, their commonest ones, abbreviations, collocations."""
+    """Per language: words written small, their commonest ones, abbreviations, collocations, and words that
+    begin sentences more (True) or less (False) often than words do."""
 
     small: dict[str, frozenset] = field(default_factory=dict)
     common: dict[str, frozenset] = field(default_factory=dict)
@@ -244,6 +247,7 @@ class SentenceModel:
     letters: dict[str, dict[str, Behaviour]] = field(default_factory=dict)
     numbers: dict[str, dict[str, Behaviour]] = field(default_factory=dict)
     dots: dict[str, dict[str, Behaviour]] = field(default_factory=dict)
+    starters: dict[str, dict[str, bool]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.vote: dict[str, tuple] = {}
@@ -258,6 +262,11 @@ class SentenceModel:
         self.vote = {w: tuple(langs) for w, langs in votes.items()}
         self.dotted = frozenset(w for found in self.abbreviations.values() for w in found)
 
+    def begins(self, lang: str, word: str) -> bool:
+        """Can a capitalised word begin a sentence?  The ratio decides; where it does not, being otherwise written small."""
+        told = self.starters.get(lang, {}).get(word)
+        return word in self.small.get(lang, ()) if told is None else told
+
     def language(self, part: str, label: str) -> str:
         """The language whose commonest words a part holds most of; the given one if that is undecided."""
         hits: Counter = Counter()
@@ -365,6 +374,37 @@ def _opened(text: str, at: int, begin: int, closer: str) -> int:
     return p
 
 
+class _Language:
+    """The language of a text, found when it is first asked for: most periods do not need it."""
+
+    __slots__ = ("model", "text", "label", "found")
+
+    def __init__(self, model: SentenceModel, text: str, label: str):
+        self.model, self.text, self.label, self.found = model, text, label, None
+
+    @property
+    def name(self) -> str:
+        if self.found is None:
+            self.found = self.model.language(self.text, self.label)
+        return self.found
+
+
+class _Part:
+    """The same for a block of a text; short ones have the text's."""
+
+    __slots__ = ("whole", "a", "b", "found")
+
+    def __init__(self, whole: _Language, a: int, b: int):
+        self.whole, self.a, self.b, self.found = whole, a, b, None
+
+    @property
+    def name(self) -> str:
+        if self.found is None:
+            w = self.whole
+            self.found = w.model.language(w.text[self.a : self.b], w.name) if self.b - self.a > 60 else w.name
+        return self.found
+
+
 class Splitter:
     def __init__(self, model: SentenceModel):
         self.model = model
@@ -373,11 +413,10 @@ class Splitter:
         """(start, end) of every sentence of a text, in code points."""
         if not text or text.isspace():
             return []
-        label = label if label in self.model.small else ANY
-        label = self.model.language(text, label)
+        language = _Language(self.model, text, label if label in self.model.small else ANY)
         out: list[tuple[int, int]] = []
         for a, b, listed in blocks(text):
-            cuts = [] if listed else self.cuts(text, a, b, label)
+            cuts = [] if listed else self.cuts(text, a, b, language)
             start = a
             for c in [*cuts, b]:
                 s, e = start, c
@@ -390,13 +429,10 @@ class Splitter:
                 start = c
         return out
 
-    def cuts(self, text: str, a: int, b: int, label: str) -> list[int]:
+    def cuts(self, text: str, a: int, b: int, language: _Language) -> list[int]:
         r = _re()
-        part = text[a:b]
-        case = letter_case(part)
-        lang = label
-        if len(part) > 60:
-            lang = self.model.language(part, label)
+        case = letter_case(text[a:b])
+        lang = _Part(language, a, b)
         out: list[int] = []
         start = a
         for m in r["mark"].finditer(text, a, b):
@@ -431,7 +467,7 @@ class Splitter:
         return None if word in self.model.small.get(lang, ()) else self.model.abbreviations.get(ANY, {}).get(word)
 
     def ends(
-        self, text: str, a: int, b: int, start: int, at: int, end: int, marks: str, close: str, case: str, lang: str
+        self, text: str, a: int, b: int, start: int, at: int, end: int, marks: str, close: str, case: str, lang: _Part
     ) -> bool:
         r = _re()
         n = end
@@ -463,7 +499,7 @@ class Splitter:
                 return False
             if large and case == "cased" or opened:
                 return True
-            seen = self._lookup(self.model.dots, lang, plain(word_before(text, at, a)[0]))
+            seen = self._lookup(self.model.dots, lang.name, plain(word_before(text, at, a)[0]))
             return seen is None or seen.share >= 0.5
         if marks != ".":
             return not (small and case == "cased" and marks[0] not in "!?")
@@ -490,7 +526,7 @@ class Splitter:
             return True
         return introduced
 
-    def _without_gap(self, text: str, a: int, at: int, word: str, marks: str, large: bool, small: bool, case: str, lang: str) -> bool:
+    def _without_gap(self, text: str, a: int, at: int, word: str, marks: str, large: bool, small: bool, case: str, lang: _Part) -> bool:
         """A mark with the next word right behind it: a lost space, or the inside of a name or number."""
         r = _re()
         if not word:
@@ -506,17 +542,17 @@ class Splitter:
         if len(core) < 2 or "." in core or not core.isalpha():
             return large and case == "cased" and not core[-1:].isdigit() and len(marks) > 1
         nxt = word.split(".")[0]
-        known = self.model.small.get(lang, frozenset())
         if case == "cased":
             if not large or not r["lower"].match(core[-1]):
                 return False
             return not (nxt.isupper() and len(nxt) > 1)
         if len(marks) > 1:
             return True
-        return len(core) > 2 and plain(core) in known and plain(nxt) in known | self.model.abbreviations.get(lang, {}).keys()
+        known, dotted = self.model.small.get(lang.name, frozenset()), self.model.abbreviations.get(lang.name, {})
+        return len(core) > 2 and plain(core) in known and (plain(nxt) in known or plain(nxt) in dotted)
 
     def _after_period(
-        self, text: str, a: int, at: int, word: str, opened: bool, small: bool, large: bool, case: str, lang: str
+        self, text: str, a: int, at: int, word: str, opened: bool, small: bool, large: bool, case: str, part: _Part
     ) -> bool:
         before, s = word_before(text, at, a)
         if not before:
@@ -524,10 +560,11 @@ class Splitter:
         kind = kind_of(before)
         if kind == "word" and "." not in before and plain(before) not in self.model.dotted:
             return not (small and case == "cased")  # an abbreviation of no language
+        lang = part.name
         if lang != ANY:
             lang = self._nearby(text, max(a, at - 90), at + 60, lang)
         follower = word.rstrip(".")
-        known = plain(follower) in self.model.small.get(lang, frozenset()) and not follower.isdigit() and not _initial(word)
+        known = self.model.begins(lang, plain(follower)) and not follower.isdigit() and not _initial(word)
         if kind == "word":
             seen = self._abbreviation(lang, plain(before))
             if seen is None and word[:1].isdigit() and plain(before) in self.model.abbreviations.get(ANY, {}):
@@ -599,7 +636,42 @@ def learn_sentences(df: DataFrame, text_col: str, lang_col: str | None = None) -
     counted = rows.mapInPandas(count, "lang string, kind string, key string, what string, n long")
     counted = materialize(counted.groupBy("lang", "kind", "key", "what").agg(F.sum("n").alias("n")), "counts")
     kept = judged_counts(counted)
-    return learn([tuple(r) for r in kept.toLocalIterator()])
+    model = learn([tuple(r) for r in kept.toLocalIterator()])
+    for lang, word, begins in starter_words(counted, model).toLocalIterator():
+        model.starters.setdefault(lang, {})[word] = begins
+    return model
+
+
+def starter_words(counted: DataFrame, model: SentenceModel, least: float = STARTER_RATIO) -> DataFrame:
+    """(lang, word, begins): words for which Dunning's ratio tells how often they stand after sure ends of sentences.
+
+    A sure end is a period after a word that is no abbreviation of any language.  Of n occurrences of a word k
+    stand there; among all words the share is that of the ends in the language's tokens.  begins is true for words whose share
+    is greater and that are also written small, false for those whose share is smaller; words with a ratio below ``least``
+    are not in the table.  Languages
+    are summed as ANY.  Only words beyond ``LEAST_SHARE`` of their language's tokens can reach the ratio or are kept.
+    """
+    spark = counted.sparkSession
+    dotted = spark.createDataFrame([(w,) for w in sorted(model.dotted)], "key string")
+    sure = counted.where("kind = 'period'").join(F.broadcast(dotted), "key", "left_anti")
+    after = sure.where(F.col("what").startswith("U")).select("lang", F.expr("substring(what, 2)").alias("word"), F.col("n").alias("k"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
+    seen = counted.where("kind IN ('bare', 'small')").select(
+        "lang", F.col("key").alias("word"), F.lit(0).cast("long").alias("k"), F.when(F.col("kind") == "bare", F.col("n")).otherwise(0).alias("n"),
+        F.when(F.col("kind") == "small", F.col("n")).otherwise(0).alias("s"),
+    )
+    both = after.unionByName(seen)
+    both = both.where("lang <> ''").unionByName(both.withColumn("lang", F.lit(ANY)))
+    words = both.groupBy("lang", "word").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n >= k AND n > 0")
+    ends = sure.select("lang", F.col("n").alias("ends"), F.lit(0).cast("long").alias("size"))
+    size = counted.where("kind = 'size'").select("lang", F.lit(0).cast("long").alias("ends"), F.col("n").alias("size"))
+    base = ends.unionByName(size)
+    base = base.where("lang <> ''").unionByName(base.withColumn("lang", F.lit(ANY)))
+    base = base.groupBy("lang").agg((F.sum("ends") / F.sum("size")).alias("p"), (F.sum("size") * LEAST_SHARE).alias("least"))
+    rows = words.join(F.broadcast(base), "lang").where("p > 0 AND p < 1 AND n >= least").withColumn("q", F.col("k") / F.col("n"))
+    part = "CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({q} / {p}) END"
+    ratio = F.expr("2 * (" + part.format(k="k", q="q", p="p") + " + " + part.format(k="(n - k)", q="(1 - q)", p="(1 - p)") + ")")
+    # what is never written small may be a name, which begins sentences, too, and also follows titles
+    return rows.where(ratio >= least).where("q < p OR s > 0").select("lang", "word", (F.col("q") > F.col("p")).alias("begins"))
 
 
 def judged_counts(counted: DataFrame) -> DataFrame:
