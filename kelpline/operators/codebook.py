@@ -29,9 +29,14 @@ class EmptyCodebook(RuntimeError):
     """There is nothing to quantise with."""
 
 
+def count_terms(terms: DataFrame, chunk_col: str = "chunk_id") -> DataFrame:
+    """(chunk, term, tf, pos) over rows (chunk, pos, term): how often and where first a chunk holds a term."""
+    return terms.groupBy(chunk_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+
+
 def term_statistics(terms: DataFrame, chunk_col: str = "chunk_id") -> DataFrame:
-    """(term, freq, df, first_chunk, first_pos) over rows (chunk, pos, term): occurrences, chunks, first place."""
-    per_chunk = terms.groupBy(chunk_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    """(term, freq, df, first_chunk, first_pos) over rows (chunk, pos, term) or counts of them: occurrences, chunks, first place."""
+    per_chunk = terms if "tf" in terms.columns else count_terms(terms, chunk_col)
     return per_chunk.groupBy("term").agg(
         F.sum("tf").alias("freq"),
         F.count(F.lit(1)).alias("df"),

@@ -29,6 +29,13 @@ def normalise(rows: DataFrame, chunk_cols: list[str], weight: str = "weight") ->
     return rows.withColumn(weight, F.when(length > 0, F.col(weight) / length).otherwise(F.lit(0.0)))
 
 
+def weighted_terms(counts: DataFrame, codebook: DataFrame, chunk_cols: list[str]) -> DataFrame:
+    """(chunk..., word_idx, weight) of counted terms (chunk..., term, tf), not normalised, without zeros; nothing is shuffled."""
+    known = F.broadcast(codebook.select("term", "word_idx", "idf"))  # at most k rows
+    rows = counts.join(known, "term").select(*chunk_cols, "word_idx", log_weight(F.col("tf"), F.col("idf")).alias("weight"))
+    return rows.where(F.col("weight") != 0)
+
+
 def histograms(rows: DataFrame, codebook: DataFrame, chunk_cols: list[str], on: str = "term") -> DataFrame:
     """(chunk..., word_idx, weight): sublinear tf-idf of unit length, without zero weights."""
     counted = count_words(rows, codebook, chunk_cols, on)

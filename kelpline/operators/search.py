@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +15,10 @@ from kelpline.operators.index import Index
 
 #: Query histograms of up to so many rows are sent to every task; larger batches are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Most queries that one scan of the blocks answers; larger batches go in blocks of queries.
+QUERY_BLOCK = 4_096
+#: Numbers of a dense part of a block.
+DENSE = 4_000_000
 #: Scores are compared after rounding to this many digits, so sums in another order rank alike.
 DIGITS = 6
 
@@ -61,9 +69,109 @@ def top_per_query(scores: DataFrame, n: int, id_col: str = "chunk_id", digits: i
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Row numbers of the ``n`` best of every query: by rounded score, then by id."""
+    order = np.lexsort((ids, -np.round(score, DIGITS), q))
+    q = q[order]
+    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return order[place < n]
+
+
+def _scan(sent, n: int):
+    """The ``n`` best chunks of every query within a task's blocks."""
+
+    def of_block(row, q: np.ndarray, column: np.ndarray):
+        """(query, chunk, score) of the best chunks of one block."""
+        ids, starts = np.asarray(row.chunk_id), np.asarray(row.starts)
+        words, weights = np.asarray(row.words), np.asarray(row.weights)
+        at = np.where(words < len(column), column[np.minimum(words, len(column) - 1)], -1)
+        use = np.flatnonzero(at >= 0)
+        owner = np.repeat(np.arange(len(ids)), np.diff(starts))[use]
+        length = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(starts)), weights * weights, len(ids)))
+        at, weights = at[use], weights[use]
+        step = max(1, DENSE // max(q.shape))
+        for lo in range(0, len(ids), step):
+            a, b = np.searchsorted(owner, [lo, lo + step])
+            if a == b:
+                continue
+            dense = np.zeros((min(step, len(ids) - lo), q.shape[1]))
+            dense[owner[a:b] - lo, at[a:b]] = weights[a:b]
+            norm = length[lo : lo + step]
+            score = q @ dense.T / np.where(norm > 0, norm, 1)
+            if (q < 0).any() or (weights < 0).any():  # a score of 0 or less can come from words that are shared
+                shared = (q != 0).astype(float) @ (dense != 0).astype(float).T > 0
+            else:
+                shared = score > 0
+            ranked = np.where(shared, np.round(score, DIGITS), -np.inf)
+            least = np.partition(ranked, -n, axis=1)[:, [-n]] if n < ranked.shape[1] else np.float64(-np.inf)
+            x, y = np.nonzero(shared & (ranked >= least))
+            best = _best(x, y, score[x, y], n)
+            yield x[best], ids[lo + y[best]], score[x[best], y[best]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q, column = sent.value
+        kept: list[tuple] = []
+
+        def reduce() -> tuple:
+            x, ids, score = (np.concatenate(part) for part in zip(*kept))
+            best = _best(x, ids, score, n)
+            return x[best], ids[best], score[best]
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                kept += of_block(row, q, column)
+                if len(kept) > 16:
+                    kept = [reduce()]
+        if kept:
+            x, ids, score = reduce()
+            yield pd.DataFrame({"query_id": q_ids[x], "chunk_id": ids, "score": score})
+
+    return run
+
+
+def best_chunks(index: Index, query: DataFrame, n: int) -> DataFrame:
+    """(query_id, chunk_id, score) with the ``n`` best chunks of every query, and a few more of other tasks.
+
+    Queries (query_id, word_idx, weight) are sent in blocks of ``QUERY_BLOCK``.  A block of chunks is multiplied with all of
+    them at once; a task keeps the ``n`` best of each query, so no scored pair is shuffled but these.
+    """
+    spark = query.sparkSession
+    q_type, c_type = query.schema["query_id"].dataType.simpleString(), index.postings.schema["chunk_id"].dataType.simpleString()
+    schema = f"query_id {q_type}, chunk_id {c_type}, score double"
+    packed = query.groupBy("query_id").agg(F.collect_list(F.struct("word_idx", "weight")).alias("h"))  # a histogram has at most k words
+    found: list[DataFrame] = []
+
+    def scan(rows: list) -> None:
+        words = np.unique([w["word_idx"] for r in rows for w in r["h"]])
+        column = np.full(int(words.max()) + 1, -1, dtype=np.int32)
+        column[words] = np.arange(len(words))
+        q = np.zeros((len(rows), len(words)))
+        for i, r in enumerate(rows):
+            for w in r["h"]:
+                q[i, column[w["word_idx"]]] += w["weight"]
+        length = np.linalg.norm(q, axis=1, keepdims=True)
+        q /= np.where(length > 0, length, 1)
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), q, column))
+        found.append(index.blocks.mapInPandas(_scan(sent, n), schema))
+
+    block: list = []
+    for r in packed.toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            scan(block)
+            block = []
+    if block:
+        scan(block)
+    out = found[0] if found else spark.createDataFrame([], schema)
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def search_chunks(index: Index, query: DataFrame, n: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, place); queries without a known word have no rows."""
-    return top_per_query(cosine_scores(query, index.postings, index.norms), n)
+    return top_per_query(best_chunks(index, query, n), n)
 
 
 def best_chunk_per_item(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -79,9 +187,10 @@ def search_text_items(index: Index, queries: DataFrame, n: int = 10, over_fetch:
     Only ``over_fetch`` * n chunks are rolled up, so fewer than ``n`` items can come out; None rolls up all.
     """
     query = quantise_text(index, queries, text_col)
-    scores = cosine_scores(query, index.postings, index.norms)
-    if over_fetch is not None:
-        scores = top_per_query(scores, n * over_fetch).drop("place")
+    if over_fetch is None:
+        scores = cosine_scores(query, index.postings, index.norms)
+    else:
+        scores = search_chunks(index, query, n * over_fetch).drop("place")
     best = top_per_query(best_chunk_per_item(scores, index.chunks), n, "item_id")
     told = best.join(index.chunks.select("chunk_id", "content"), "chunk_id").join(index.items, "item_id")
     extra = [c for c in index.items.columns if c != "item_id"]
@@ -93,7 +202,10 @@ def search_histograms(index: Index, query: DataFrame, n: int = 10, exclude: Data
 
     ``exclude`` (query_id, chunk_id) are left out before the cut.  Metadata is looked up by a left join.
     """
-    scores = cosine_scores(query, index.postings, index.norms)
+    more = 0
+    if exclude is not None:  # what is left out later may take so many places
+        more = exclude.groupBy("query_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    scores = best_chunks(index, query, n + more)
     if exclude is not None:
         scores = scores.join(exclude, ["query_id", "chunk_id"], "left_anti")
     best = top_per_query(scores, n).join(index.chunks.select("chunk_id", "item_id"), "chunk_id", "left")

@@ -255,7 +255,7 @@ def term_frequencies(spark: SparkSession, root: str) -> DataFrame:
 
 @query(_INDEX + "SELECT word_idx, term, freq, df, round(idf, 6) AS idf FROM cb")
 def text_codebook(spark: SparkSession, root: str) -> DataFrame:
-    words = song_index(spark, root).codebook
+    words = index.text_words(song_items(spark, root), K, PLAIN)
     return words.select("word_idx", "term", "freq", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -277,10 +277,10 @@ def inverted_index_stats(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query(_INDEX + "SELECT word_idx, array_to_string(list(chunk_id ORDER BY chunk_id), ' ') AS chunks FROM post GROUP BY word_idx")
+@query(_INDEX + "SELECT word_idx, chunk_id // 4096 AS part, array_to_string(list(chunk_id ORDER BY chunk_id), ' ') AS chunks FROM post GROUP BY ALL")
 def posting_lists(spark: SparkSession, root: str) -> DataFrame:
     lists = index.posting_lists(song_index(spark, root).postings)
-    return lists.select("word_idx", F.array_join(F.transform("postings", lambda p: p["chunk_id"].cast("string")), " ").alias("chunks"))
+    return lists.select("word_idx", "part", F.array_join(F.transform("postings", lambda p: p["chunk_id"].cast("string")), " ").alias("chunks"))
 
 
 def _asked(source: str) -> str:
@@ -373,7 +373,7 @@ def search_stemmed(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def generated_queries(spark: SparkSession, root: str) -> DataFrame:
-    return metrics.generated_queries(song_index(spark, root).codebook, 30)
+    return metrics.generated_queries(index.text_words(song_items(spark, root), K, PLAIN), 30)
 
 
 _FULL = f"""

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from kelpline.runtime import materialize, range_partitions
 
@@ -43,25 +42,25 @@ def map_columns(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataF
     )
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str = "item_id") -> DataFrame:
+def dense_ids(df: DataFrame, order: list[str], name: str = "item_id", in_ranges: bool = False) -> DataFrame:
     """Ids 0, 1, 2, ... by ``order``, without sorting everything in one task.
 
-    Rows are split into ranges, numbered within them, and shifted by the sizes of the ranges before.
+    Rows are split into ranges and numbered by their place within them, which the size of the ranges before shifts: one
+    shuffle, one write.  ``in_ranges`` says that ``df`` is partitioned by ranges of the first of ``order`` already.
     """
-    ranged = df.repartitionByRange(range_partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = df if in_ranges else df.repartitionByRange(range_partitions(df.sparkSession), *order)
+    ranged = ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     ranged = materialize(ranged, "ranged")
-    sizes = ranged.groupBy("_part").count().collect()  # one row per partition
-    shift, so_far = {}, 0
-    for part, n in sorted(sizes):
-        shift[part], so_far = so_far, so_far + n
-    pairs = [(p, s) for p, s in shift.items()] or [(0, 0)]
-    offsets = df.sparkSession.createDataFrame(pairs, "_part int, _shift long")
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    part = F.shiftright("_place", 33)  # the upper bits are the partition, the lower ones the place in it
+    sizes = ranged.groupBy(part.alias("_part")).count().collect()  # one row per partition
+    shift, so_far = [], 0
+    for p, n in sorted(sizes):
+        shift.append((p, so_far))
+        so_far += n
+    offsets = df.sparkSession.createDataFrame(shift or [(0, 0)], "_part long, _shift long")
+    in_part = F.col("_place").bitwiseAND((1 << 33) - 1)
     return (
-        ranged.withColumn("_in_part", place)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_shift") + F.col("_in_part"))
-        .drop("_part", "_in_part", "_shift")
+        ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_shift") + in_part).drop("_part", "_place", "_shift")
     )
 
 

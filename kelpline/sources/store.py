@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.text import Analyzer
 from kelpline.operators import histogram as hg
-from kelpline.operators.index import Index
+from kelpline.operators.index import Index, sorted_postings
 from kelpline.plans.planner import IndexNotBuilt
 
-TABLES = ["items", "chunks", "codebook", "postings", "norms", "histograms", "scaler"]
+TABLES = ["items", "chunks", "codebook", "blocks", "postings", "norms", "histograms", "scaler"]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -53,7 +53,8 @@ def save(index: Index, path: str, app: str = "default", dense_histograms: bool =
         "items": items,
         "chunks": index.chunks,
         "codebook": index.codebook,
-        "postings": index.postings,
+        "blocks": index.blocks,
+        "postings": sorted_postings(index.postings),
         "norms": index.norms,
     }
     if dense_histograms and index.hist_dim:
@@ -85,7 +86,7 @@ def load(spark: SparkSession, path: str, modality: str, app: str = "default") ->
     read = {name: spark.read.parquet(f"{base}/{told['version']}/{name}") for name in told["tables"]}
     return Index(
         modality, read["items"], read["chunks"], read["codebook"], read["postings"], read["norms"], told["k"],
-        told["colour_bins"], read.get("scaler"), Analyzer(**told["analyzer"]) if told["analyzer"] else None,
+        told["colour_bins"], read.get("scaler"), Analyzer(**told["analyzer"]) if told["analyzer"] else None, read["blocks"],
     )
 
 
@@ -107,6 +108,8 @@ def summary(spark: SparkSession, path: str, modality: str, app: str = "default")
         raise IndexNotBuilt(f"there is no {modality} index below {path}")
     out = None
     for name in told["tables"]:
+        if name == "blocks":  # the same numbers as the postings
+            continue
         one = spark.read.parquet(f"{base}/{told['version']}/{name}").agg(F.count(F.lit(1)).alias("rows"))
         one = one.select(F.lit(name).alias("table"), "rows")
         out = one if out is None else out.unionByName(one)
