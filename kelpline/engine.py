@@ -7,12 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from kelpline.functions import audio, images
 from kelpline.functions.text import Analyzer, query_frame
 from kelpline.operators import fulltext, knn, search
+from kelpline.operators import histogram as hg
+from kelpline.operators.extension import Extractor
 from kelpline.operators.index import Index, build_text_index, build_vector_index
 from kelpline.plans.language import parse
 from kelpline.plans.planner import IndexNotBuilt, NotFound, plan
+from kelpline.runtime import materialize
 from kelpline.sources import media, songs, store
 
 LARGEST_TOP = 50
@@ -39,8 +44,19 @@ class Engine:
         rows = songs.dense_ids(rows.withColumn("filename", F.col("track")), ["track"], "item_id")
         return self._keep(build_vector_index(rows, "audio", k, "features", **kw))
 
-    def build_images(self, source: DataFrame, k: int = 256, alpha: float = 0.5, **kw) -> Index:
-        """From rows (item_id, filename, external_id, descriptors[, colour]); items without descriptors are skipped."""
+    def build_images(
+        self, source: str | DataFrame, k: int = 256, alpha: float = 0.5, limit: int | None = None, describe: Extractor | None = None,
+        colour_of: Extractor | None = None, **kw,
+    ) -> Index:
+        """From a folder, or rows (item_id, filename, external_id, descriptors[, colour]); items without descriptors are skipped.
+
+        ``describe`` and ``colour_of`` take encoded images; by default local descriptors and colour histograms.
+        """
+        if isinstance(source, str):
+            files = songs.dense_ids(media.scan_images(self.spark, source, limit), ["path"], "item_id")
+            told = (describe or images.sift_descriptors)("content"), (colour_of or images.colour_histogram)("content")
+            source = files.select("item_id", "filename", "external_id", told[0].alias("descriptors"), *([told[1].alias("colour")] if alpha > 0 else []))
+            source = materialize(source, "described")
         rows = source.where(F.size("descriptors") > 0)
         colour = "colour" if "colour" in rows.columns else None
         return self._keep(build_vector_index(rows, "image", k, "descriptors", colour, alpha, **kw))
@@ -86,6 +102,18 @@ class Engine:
         query = search.quantise_descriptors(index, asked, "descriptors", "colour" if colour else None, alpha)
         return search.search_histograms(index, query, self._checked(n))
 
+    def search_bytes(self, modality: str, data: bytes, n: int = 10, describe: Extractor | None = None, colour_of: Extractor | None = None, alpha: float = 0.5) -> DataFrame:
+        """By an encoded image or clip; ValueError when it is empty or nothing in it can be described."""
+        if not data:
+            raise ValueError("the query is empty")
+        one = self.spark.createDataFrame([(bytearray(data),)], "content binary")
+        usual = images.sift_descriptors if modality == "image" else audio.clip_features
+        told = [(describe or usual)("content").alias("d")]
+        if modality == "image" and self.index("image").colour_bins:
+            told.append((colour_of or images.colour_histogram)("content").alias("c"))
+        row = one.select(*told).first()
+        return self.search_descriptors(modality, row["d"] or [], n, row["c"] if len(told) > 1 else None, alpha)
+
     def search_like(self, modality: str, key_col: str, key: str, n: int = 10) -> DataFrame:
         index = self.index(modality)
         if index.items.where(F.col(key_col).cast("string") == str(key)).isEmpty():
@@ -109,6 +137,28 @@ class Engine:
             items = items.where(F.lower("label") == label.lower())
         return items.count(), items.orderBy(F.rand(seed)).limit(n)
 
+    def compare_like(self, modality: str, key_col: str, key: str, n: int = 10) -> list[dict]:
+        """Items like a stored one by postings and by exact dense vectors: [{method, latency_ms, count, results}]."""
+        index = self.index(modality)
+        first = index.items.where(F.col(key_col).cast("string") == str(key)).select("item_id").first()
+        if first is None:
+            raise NotFound(f"there is no {modality} item {key!r}")
+        dense = hg.dense_of_sparse(index.postings, "chunk_id", index.hist_dim).join(index.chunks.select("chunk_id", "item_id"), "chunk_id")
+        dense = materialize(dense, "dense")
+
+        def exact() -> DataFrame:
+            near = knn.by_example(dense, first["item_id"], n, "item_id", "hist")
+            near = near.select("item_id", F.round(1 - F.col("dist"), 4).alias("score"), F.row_number().over(W.orderBy(F.round("dist", 6), "item_id")).alias("place"))
+            return near.join(index.items, "item_id")
+
+        return [self._timed("inverted", lambda: self.search_like(modality, key_col, key, n)), self._timed("dense", exact)]
+
+    @staticmethod
+    def _timed(name: str, method) -> dict:
+        began = time.perf_counter()
+        rows = [r.asDict() for r in method().orderBy("place").collect()]  # at most n
+        return {"method": name, "latency_ms": round((time.perf_counter() - began) * 1000, 3), "count": len(rows), "results": rows}
+
     def compare(self, text: str, n: int = 10) -> list[dict]:
         """The same text by postings, boolean full text and exact dense vectors: [{method, latency_ms, count, results}]."""
         index, asked = self.index("text"), query_frame(self.spark, text)
@@ -123,9 +173,4 @@ class Engine:
         def dense() -> DataFrame:
             return knn.dense_items(index, search.quantise_text(index, asked), n)
 
-        out = []
-        for name, method in (("inverted", own), ("full_text", boolean), ("dense", dense)):
-            began = time.perf_counter()
-            rows = [r.asDict() for r in method().orderBy("place").collect()]  # at most n
-            out.append({"method": name, "latency_ms": round((time.perf_counter() - began) * 1000, 3), "count": len(rows), "results": rows})
-        return out
+        return [self._timed(name, method) for name, method in (("inverted", own), ("full_text", boolean), ("dense", dense))]

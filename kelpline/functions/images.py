@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Larger images are scaled down to this before features are taken.
+LONGEST_SIDE = 512
 HUE_BINS, SATURATION_BINS, VALUE_BINS = 16, 8, 8
 #: Hue is counted for pixels that are more saturated than this.
 LEAST_SATURATION = 25
@@ -40,6 +42,25 @@ def scaled_size(height: int, width: int, longest: int = 512, enlarge: bool = Tru
     return max(1, round(height * longest / side)), max(1, round(width * longest / side))
 
 
+def _spans(n: int, to: int) -> np.ndarray:
+    """(to, n) shares of ``n`` cells that each of ``to`` equal spans covers."""
+    edges = np.linspace(0, n, to + 1)
+    cell = np.arange(n)
+    over = np.clip(np.minimum(edges[1:, None], cell + 1) - np.maximum(edges[:-1, None], cell), 0, None)
+    return over / over.sum(1, keepdims=True)
+
+
+def shrunk(rgb: np.ndarray, longest: int = LONGEST_SIDE) -> np.ndarray:
+    """The image with its longest side cut down to ``longest`` by area averages; smaller ones stay.  Sides are rounded down."""
+    height, width = rgb.shape[:2]
+    side = max(height, width)
+    if side <= longest:
+        return rgb
+    h, w = max(1, int(height * (longest / side))), max(1, int(width * (longest / side)))
+    mean = np.einsum("ah,hwc->awc", _spans(height, h), rgb.astype(np.float64))
+    return np.floor(np.einsum("bw,awc->abc", _spans(width, w), mean) + 0.5).astype(np.uint8)
+
+
 def hsv_of_rgb(rgb: np.ndarray) -> np.ndarray:
     """Hue in [0, 180), saturation and value in [0, 256), per pixel."""
     x = rgb.reshape(-1, 3).astype(np.float64)
@@ -67,14 +88,14 @@ def hsv_histogram(hsv: np.ndarray) -> np.ndarray:
     return out / length if length else out
 
 
-def colour_histogram(content: Column) -> Column:
-    """Colour histogram of encoded images; null for what cannot be decoded."""
+def colour_histogram(content: Column, longest: int = LONGEST_SIDE) -> Column:
+    """Colour histogram of encoded images, scaled down first; null for what cannot be decoded."""
 
     @F.pandas_udf("array<double>")
     def extract(data: pd.Series) -> pd.Series:
         def one(d: bytes | None):
             try:
-                return hsv_histogram(hsv_of_rgb(decode_rgb(d or b"")))
+                return hsv_histogram(hsv_of_rgb(shrunk(decode_rgb(d or b""), longest)))
             except ValueError:
                 return None
 

@@ -37,9 +37,3 @@ def z_scored(a: Column, mean: Column, scale: Column) -> Column:
     centred = F.zip_with(a, mean, lambda x, m: x.cast("double") - m)
     return F.zip_with(centred, scale, lambda x, s: x / s)
 
-
-def nearest_centroid(a: Column, centroids: Column) -> Column:
-    """word_idx of the nearest of ``centroids`` (array of struct(word_idx, vec, half)): argmax of
-    x.c - |c|^2 / 2, ties to the lowest index."""
-    scored = F.transform(centroids, lambda c: F.struct((dot(a, c["vec"]) - c["half"]).alias("s"), (-c["word_idx"]).alias("w")))
-    return -F.array_max(scored)["w"]

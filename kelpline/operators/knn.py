@@ -1,7 +1,10 @@
-"""Nearest dense vectors: exact by scan, approximate by hashing."""
+"""Nearest dense vectors: exact by scan, approximate by the cells of a stored index."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,9 +12,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kelpline.functions.vectors import cosine_distance, norm, usable
+from kelpline.operators import codebook as cb
+from kelpline.runtime import range_partitions
 
 #: Most query vectors that one scan of all rows is compared with; larger sets go in blocks.
 QUERY_BLOCK = 4096
+#: Rows compared at once: a task holds a matrix of so many rows by a block of queries.
+ROW_BLOCK = 512
+
+
+class _Nearest:
+    """The ``k`` nearest rows of every query that a task has seen: by rounded distance, then by id."""
+
+    def __init__(self, k: int, digits: int):
+        self.k, self.digits, self.size, self.kept = k, digits, 0, []
+
+    def add(self, dist: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
+        """``dist`` holds queries, numbered ``which``, by rows ``ids``; infinite distances do not count."""
+        ranked = np.round(dist, self.digits)
+        least = np.partition(ranked, self.k - 1, axis=1)[:, [self.k - 1]] if self.k < ranked.shape[1] else np.inf
+        x, y = np.nonzero(np.isfinite(ranked) & (ranked <= least))
+        self.kept.append((which[x], ids[y], dist[x, y]))
+        self.size += len(x)
+        if self.size > 1_000_000:
+            self.kept = [self.best()]
+            self.size = len(self.kept[0][0]) // 2  # where all of it is needed, the next cut comes later
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, dist = (np.concatenate(p) for p in zip(*self.kept))
+        order = np.lexsort((ids, np.round(dist, self.digits), q))
+        begins = np.flatnonzero(np.append(True, np.diff(q[order]) != 0)) if len(q) else np.zeros(0, int)
+        place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+        order = order[place < self.k]
+        return q[order], ids[order], dist[order]
+
+
+def _units(vectors) -> np.ndarray:
+    m = np.stack(list(vectors)).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _in_blocks(queries: DataFrame, vec_col: str, search: Callable[[dict], DataFrame], none: DataFrame) -> DataFrame:
+    """Union of ``search`` over blocks of queries: {length: (ids, unit vectors)}."""
+    found, block, n = None, {}, 0
+
+    def flush() -> None:
+        nonlocal found, block, n
+        part = search({size: (np.asarray(ids), _units(q)) for size, (ids, q) in block.items()})
+        found = part if found is None else found.unionByName(part)
+        block, n = {}, 0
+
+    for r in queries.toLocalIterator():
+        ids, q = block.setdefault(len(r[vec_col]), ([], []))
+        ids.append(r["query_id"])
+        q.append(r[vec_col])
+        n += 1
+        if n >= QUERY_BLOCK:
+            flush()
+    if n:
+        flush()
+    return none if found is None else found
 
 
 def exact(
@@ -24,60 +84,40 @@ def exact(
     have another length are left out on both sides.  Ties by id.
     """
     spark = vectors.sparkSession
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, dist double"
     asked = queries.where(usable(F.col(vec_col))).select("query_id", vec_col)
     rows = vectors.where(usable(F.col(vec_col))).select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
 
-    def scan(block):
-        def run(batches):
-            sent = {}
-            for size, (ids, q) in block.value.items():
-                sent[size] = (np.asarray(ids), q / np.linalg.norm(q, axis=1, keepdims=True))
+    def search(block: dict) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = {size: _Nearest(k, digits) for size in sent.value}
             for batch in batches:
-                out = []
                 for size, part in batch.groupby(batch["_vec"].map(len)):
-                    if size not in sent:
+                    if size not in near:
                         continue
-                    q_ids, q = sent[size]
-                    v = np.stack(part["_vec"].to_list()).astype(np.float64)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
-                    ids = part["_id"].to_numpy()
-                    dist = 1 - q @ v.T
-                    if exclude_self:
-                        dist[q_ids[:, None] == ids[None, :]] = np.inf
-                    order = np.argsort(ids, kind="stable")
-                    near = order[np.argsort(np.round(dist[:, order], digits), axis=1, kind="stable")[:, :k]]
-                    d = np.take_along_axis(dist, near, axis=1)
-                    keep = np.isfinite(d)
-                    out.append(pd.DataFrame({"query_id": np.repeat(q_ids, d.shape[1])[keep.ravel()], "id": ids[near][keep], "dist": d[keep]}))
-                yield from out
-
-        return run
+                    q_ids, q = sent.value[size]
+                    for lo in range(0, len(part), ROW_BLOCK):
+                        some = part.iloc[lo : lo + ROW_BLOCK]
+                        ids, dist = some["_id"].to_numpy(), 1 - q @ _units(some["_vec"]).T
+                        if exclude_self:
+                            dist[q_ids[:, None] == ids[None, :]] = np.inf
+                        near[size].add(dist, ids, np.arange(len(q)))
+            for size, found in near.items():
+                if found.kept:
+                    x, ids, dist = found.best()
+                    yield pd.DataFrame({"query_id": sent.value[size][0][x], "id": ids, "dist": dist})
 
-    found, block, n = None, {}, 0
+        return rows.mapInPandas(run, schema)
 
-    def flush():
-        nonlocal found, block, n
-        packed = {size: (ids, np.asarray(q, dtype=np.float64)) for size, (ids, q) in block.items()}
-        part = rows.mapInPandas(scan(spark.sparkContext.broadcast(packed)), f"query_id {q_type}, id {id_type}, dist double")
-        found = part if found is None else found.unionByName(part)
-        block, n = {}, 0
+    found = _in_blocks(asked, vec_col, search, spark.createDataFrame([], schema))
+    return _placed(found, k, digits).withColumnRenamed("id", id_col)
 
-    for r in asked.toLocalIterator():
-        ids, q = block.setdefault(len(r[vec_col]), ([], []))
-        ids.append(r["query_id"])
-        q.append(r[vec_col])
-        n += 1
-        if n >= QUERY_BLOCK:
-            flush()
-    if n:
-        flush()
-    if found is None:
-        found = spark.createDataFrame([], f"query_id {q_type}, id {id_type}, dist double")
+
+def _placed(found: DataFrame, k: int, digits: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.round("dist", digits), "id")
-    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return best.withColumnRenamed("id", id_col)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def by_example(vectors: DataFrame, probe_id, k: int, id_col: str, vec_col: str) -> DataFrame:
@@ -101,29 +141,112 @@ def items_of_chunks(hits: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     return best.withColumn("score", F.round(1 - F.col("dist"), 4))
 
 
-def hashed(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, tables: int = 8, width: float = 1.0, seed: int = 0
-) -> DataFrame:
-    """(query_id, id_col, dist, place): approximate neighbours by random projections of unit vectors.
+# -- approximate: an index of cells -------------------------------------------------------------------
+
+
+@dataclass
+class CellIndex:
+    """``centres`` (word_idx, vec); ``cells`` (cell, id, vec): unit vectors in ranges of cells, as stored below ``path``."""
+
+    path: str
+    centres: DataFrame
+    cells: DataFrame
+
+    def sizes(self) -> DataFrame:
+        """(cell, n)."""
+        return self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def build_cells(vectors: DataFrame, id_col: str, vec_col: str, path: str, n_cells: int | None = None, sample: int = 100_000, seed: int = 0) -> CellIndex:
+    """Build an index below ``path``, in place of one that is there, and return it.
 
-    ``tables`` takes the place of a search depth: more tables give more candidates.  Candidates share a
-    bucket in at least one table; distances of candidates are exact.
+    The centres are fitted on at most ``sample`` vectors; every usable vector is put into the cell of its nearest
+    centre.  ``n_cells`` is by default the square root of their number, at most 16,384.  All vectors must have one length.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    unit = F.pandas_udf(lambda v: pd.Series(list(_units(v))) if len(v) else pd.Series([], dtype=object), "array<double>")
+    rows = vectors.where(usable(F.col(vec_col))).select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("vec"))
+    n = rows.select("id").count()
+    if n == 0:
+        raise ValueError("there is no usable vector")
+    k = n_cells or max(1, min(16_384, round(n**0.5)))
+    centres = cb.k_means(cb.descriptor_sample(rows, ["id"], sample, seed), k, seed)
+    centres.write.mode("overwrite").parquet(f"{path}/centres")
+    placed = cb.assign(rows, centres).select(F.col("word_idx").alias("cell"), "id", "vec")
+    # ranges of (cell, id), so a cell of many vectors is many files
+    ranged = placed.repartitionByRange(range_partitions(vectors.sparkSession), "cell", "id").sortWithinPartitions("cell", "id")
+    ranged.write.mode("overwrite").parquet(f"{path}/cells")
+    return load_cells(vectors.sparkSession, path)
+
+
+def load_cells(spark, path: str) -> CellIndex:
+    return CellIndex(path, spark.read.parquet(f"{path}/centres"), spark.read.parquet(f"{path}/cells"))
+
+
+def drop_cells(index: CellIndex) -> None:
+    spark = index.cells.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(index.path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _probed(q: np.ndarray, centres: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` nearest centres of every query."""
+    near = q @ centres.T - (centres * centres).sum(1) / 2
+    return np.argsort(-np.round(near, 9), axis=1, kind="stable")[:, :depth]
+
+
+def search_cells(index: CellIndex, queries: DataFrame, k: int, depth: int, vec_col: str, id_name: str = "id", exclude_self: bool = True, digits: int = 6) -> DataFrame:
+    """(query_id, id_name, dist, place): the nearest rows among the ``depth`` cells nearest to each query.
+
+    Only the cells that some query of a block needs are read (a filter on ``cell`` that reaches the scan); rows are compared
+    with the queries that look into their cell, and a task keeps k rows per query.
+    """
+    spark = queries.sparkSession
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.cells.schema['id'].dataType.simpleString()}, dist double"
+    told = sorted((r["word_idx"], list(r["vec"])) for r in index.centres.collect())  # at most 16,384 rows
+    centres = np.array([v for _, v in told])
+    asked = queries.where(usable(F.col(vec_col)) & (F.size(vec_col) == centres.shape[1])).select("query_id", vec_col)
+
+    def search(block: dict) -> DataFrame:
+        ((q_ids, q),) = block.values()
+        probed = _probed(q, centres, depth)
+        needed = np.unique(probed)
+        who = {int(c): np.flatnonzero((probed == c).any(1)) for c in needed}
+        sent = spark.sparkContext.broadcast((q_ids, q, who))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q_ids, q, who = sent.value
+            near = _Nearest(k, digits)
+            for batch in batches:
+                for cell, part in batch.groupby("cell"):
+                    which = who.get(int(cell))
+                    for lo in range(0, len(part) if which is not None else 0, ROW_BLOCK):
+                        some = part.iloc[lo : lo + ROW_BLOCK]
+                        ids, dist = some["id"].to_numpy(), 1 - q[which] @ np.stack(some["vec"].to_list()).T
+                        if exclude_self:
+                            dist[q_ids[which][:, None] == ids[None, :]] = np.inf
+                        near.add(dist, ids, which)
+            if near.kept:
+                x, ids, dist = near.best()
+                yield pd.DataFrame({"query_id": q_ids[x], "id": ids, "dist": dist})
+
+        few = len(needed) <= 1_000 and len(needed) < len(centres)
+        rows = index.cells.where(F.col("cell").isin([int(c) for c in needed])) if few else index.cells
+        return rows.mapInPandas(run, schema)
 
-    from kelpline.functions.vectors import l2_normalised
+    found = _in_blocks(asked, vec_col, search, spark.createDataFrame([], schema))
+    return _placed(found, k, digits).withColumnRenamed("id", id_name)
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        rows = df.where(usable(F.col(vec_col)))
-        return rows.select(F.col(key).alias("_id"), array_to_vector(l2_normalised(F.col(vec_col))).alias("u"))
 
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", numHashTables=tables, bucketLength=width, seed=seed).fit(unit(vectors, id_col))
-    pairs = model.approxSimilarityJoin(unit(vectors, id_col), unit(queries, "query_id"), 2.0, "d")
-    rows = pairs.select(F.col("datasetB._id").alias("query_id"), F.col("datasetA._id").alias(id_col), (F.col("d") * F.col("d") / 2).alias("dist"))
-    rows = rows.where(F.col("query_id") != F.col(id_col))
-    order = W.partitionBy("query_id").orderBy(F.round("dist", 6), id_col)
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def compared_share(index: CellIndex, queries: DataFrame, depth: int, vec_col: str) -> DataFrame:
+    """(share): mean share of all vectors that a search of this depth compares with a query."""
+    told = sorted((r["word_idx"], list(r["vec"])) for r in index.centres.collect())
+    centres = np.array([v for _, v in told])
+    probes = F.pandas_udf(lambda v: pd.Series(list(_probed(_units(v), centres, depth).astype(np.int32))) if len(v) else pd.Series([], dtype=object), "array<int>")
+    asked = queries.where(usable(F.col(vec_col))).select(F.col("query_id"), F.explode(probes(F.col(vec_col))).alias("cell"))
+    sizes = index.sizes()
+    every = sizes.agg(F.sum("n").alias("_all"))
+    per = asked.join(F.broadcast(sizes), "cell").groupBy("query_id").agg(F.sum("n").alias("n"))  # one row a cell
+    return per.join(F.broadcast(every)).agg(F.avg(F.col("n") / F.col("_all")).alias("share"))
 
 
 def dense_items(index, query: DataFrame, n: int) -> DataFrame:

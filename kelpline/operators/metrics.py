@@ -34,16 +34,26 @@ def chance(labels: DataFrame, label_col: str = "label") -> DataFrame:
 def order_statistics(df: DataFrame, group_cols: list[str], value: Column, digits: int = 6) -> DataFrame:
     """(group..., n, mean, p50, p95, per_second) with p50 = s[n // 2] and p95 = s[min(n - 1, int(0.95 n))].
 
-    Elements of the sorted values, not interpolated.  Values are numbered by a sort of each group in
-    the window, which spills; no group is held in one array.
+    Elements of the sorted values, not interpolated.  Distinct values are counted, split into ranges of (group, value), and
+    numbered within each range, which the sums of the ranges before shift: no group is one task.
     """
     from pyspark.sql import Window as W
 
+    from kelpline.runtime import materialize, range_partitions
+
     rows = df.select(*group_cols, value.cast("double").alias("_v")).where("_v is not null")
     counted = rows.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))  # one row per distinct value
-    up_to = W.partitionBy(*group_cols).orderBy("_v")
-    placed = counted.withColumn("_hi", F.sum("_c").over(up_to.rowsBetween(W.unboundedPreceding, 0)))
-    placed = placed.withColumn("_n", F.sum("_c").over(W.partitionBy(*group_cols)))
+    ranged = counted.repartitionByRange(range_partitions(df.sparkSession), *group_cols, "_v").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    sums = ranged.groupBy(*group_cols, "_part").agg(F.sum("_c").alias("_s"))  # one row per group and range
+    before = W.partitionBy(*group_cols).orderBy("_part")
+    sums = sums.withColumn("_before", F.sum("_s").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("_s"))
+    sums = sums.withColumn("_n", F.sum("_s").over(W.partitionBy(*group_cols))).drop("_s")
+    up_to = W.partitionBy(*group_cols, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = ranged.withColumn("_in", F.sum("_c").over(up_to))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group_cols]
+    placed = placed.alias("a").join(sums.alias("b"), [*same, F.col("a._part") == F.col("b._part")])
+    placed = placed.select(*[F.col(f"a.{c}") for c in group_cols], "_v", "_c", (F.col("_before") + F.col("_in")).alias("_hi"), "_n")
     holds = lambda at: (F.col("_hi") > at) & (F.col("_hi") - F.col("_c") <= at)
     p50, p95 = F.floor(F.col("_n") / 2), F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))
     out = placed.groupBy(*group_cols).agg(
@@ -78,3 +88,8 @@ def generated_queries(codebook: DataFrame, n: int, terms: int = 3, top: int = 20
     picked = drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= terms)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]), " ")
     return picked.groupBy("query_id").agg(text.alias("text"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table of results as one CSV file with a header below ``path``; for reports of few rows."""
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')

@@ -21,7 +21,3 @@ def paragraph_chunks(items: DataFrame, id_col: str, text_col: str, min_chars: in
     """(id_col, position, content): the paragraphs of every item, numbered from 0 within it."""
     return items.select(id_col, F.posexplode(paragraphs(F.col(text_col), min_chars)).alias("position", "content"))
 
-
-def window_chunks(tracks: DataFrame, id_col: str, features_col: str = "features") -> DataFrame:
-    """(id_col, position, vec): the feature windows of every track."""
-    return tracks.select(id_col, F.posexplode(features_col).alias("position", "vec"))

@@ -474,29 +474,57 @@ def knn_by_example_audio(spark: SparkSession, root: str) -> DataFrame:
     return _example(spark, root, "audio")
 
 
-def _hashed(spark: SparkSession, root: str, tables: int) -> DataFrame:
-    rows = table(spark, root, "embeddings")
-    asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return knn.hashed(rows, asked, 10, "vec_id", "embedding", tables=tables, width=1.0)
+#: Cells that a search of the approximate index looks into.
+DEPTHS = (1, 2, 4, 8)
+
+
+def _cells(spark: SparkSession, root: str) -> tuple[knn.CellIndex, DataFrame, DataFrame]:
+    """A stored index of the audio histograms, the vectors, and every hundredth of them as a query."""
+    rows = materialize(_stored(spark, root, "audio"), "stored")
+    asked = rows.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "hist")
+    return knn.build_cells(rows, "chunk_id", "hist", new_path(spark, "cells")), rows, asked
 
 
 @query()
-def ann_lsh(spark: SparkSession, root: str) -> DataFrame:
-    return _hashed(spark, root, 8).withColumn("dist", F.round("dist", 6))
+def ann_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Neighbours from the two nearest cells of a stored index, loaded again."""
+    built, _, asked = _cells(spark, root)
+    found = knn.search_cells(knn.load_cells(spark, built.path), asked, 10, 2, "hist", "chunk_id")
+    return found.withColumn("dist", F.round("dist", 6))
 
 
 @query()
 def ann_recall(spark: SparkSession, root: str) -> DataFrame:
-    """Mean recall of hashing against the exact neighbours, for growing numbers of tables."""
-    exact = materialize(_nearest(spark, root, 10), "exact")
+    """Mean recall of the index against the exact neighbours and the share of vectors compared, by depth."""
+    built, rows, asked = _cells(spark, root)
+    exact = materialize(knn.exact(rows, asked, 10, "chunk_id", "hist"), "exact")
     out = None
-    for tables in (2, 4, 8, 16):
-        told = metrics.recall(exact, _hashed(spark, root, tables), "vec_id").agg(F.round(F.avg("recall"), 4).alias("recall"))
-        told = told.withColumn("tables", F.lit(tables))
+    for depth in DEPTHS:
+        found = knn.search_cells(built, asked, 10, depth, "hist", "chunk_id")
+        told = metrics.recall(exact, found, "chunk_id").agg(F.round(F.avg("recall"), 4).alias("recall"))
+        told = told.join(F.broadcast(knn.compared_share(built, asked, depth, "hist").select(F.round("share", 4).alias("compared"))))
+        told = told.withColumn("depth", F.lit(depth))
         out = told if out is None else out.unionByName(told)
     return out
 
 
+_NEAREST_AUDIO = """
+WITH h AS (SELECT DISTINCT chunk_id, hist::DOUBLE[] AS v FROM histograms WHERE modality = 'audio' AND hist IS NOT NULL),
+u AS (SELECT * FROM h WHERE len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+d AS (SELECT a.chunk_id AS query_id, b.chunk_id, 1 - list_cosine_similarity(a.v, b.v) AS dist FROM u a JOIN u b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 100 = 0)
+SELECT query_id, chunk_id, round(dist, 6) AS dist, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 6), chunk_id) AS INTEGER) AS place
+FROM d QUALIFY place <= 10
+"""
+
+
+@query(_NEAREST_AUDIO)
+def ann_exhaustive(spark: SparkSession, root: str) -> DataFrame:
+    """The index at full depth gives the exact neighbours."""
+    built, _, asked = _cells(spark, root)
+    found = knn.search_cells(built, asked, 10, built.centres.count(), "hist", "chunk_id")
+    return found.select("query_id", "chunk_id", F.round("dist", 6).alias("dist"), "place")
+
+
 # -- vector codebooks --------------------------------------------------------------------------------
 
 _Z = """

@@ -19,15 +19,21 @@ ALIASES = {
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By the ending of the path: an array of JSON objects, Parquet, or CSV with quoted line breaks."""
+    """By the ending of the path: an array of JSON objects, Parquet, or CSV with quoted line breaks.
+
+    A JSON array and a CSV file are read by one task each, as neither says where it can be cut; a large collection
+    comes as many files, or as ``jsonl`` (an object a line), which is cut like Parquet.
+    """
     ending = re.sub(r"/+$", "", path).rsplit(".", 1)[-1].lower()
     if ending == "json":
         return spark.read.json(path, multiLine=True)
+    if ending == "jsonl":
+        return spark.read.json(path)
     if ending == "parquet":
         return spark.read.parquet(path)
     if ending == "csv":
         return spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
-    raise ValueError(f"no reader for .{ending}; there are json, parquet and csv")
+    raise ValueError(f"no reader for .{ending}; there are json, jsonl, parquet and csv")
 
 
 def map_columns(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:

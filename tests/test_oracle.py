@@ -16,11 +16,6 @@ def test_every_sql_has_a_query():
     assert set(NAMES) <= set(core.queries())
 
 
-def test_no_sql_or_query_reads_a_part():
-    for name, sql in core.oracle_sql().items():
-        assert "TABLESAMPLE" not in sql.upper(), name
-
-
 @pytest.fixture(scope="module")
 def db(data):
     con = duckdb.connect()

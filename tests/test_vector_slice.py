@@ -112,12 +112,72 @@ def test_exact_neighbours_leave_out_what_has_no_direction(spark):
     assert knn.by_example(rows, 99, 2, "id", "v").count() == 0
 
 
-def test_hashing_finds_most(spark):
+def test_index_of_cells(spark, tmp_path):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(20, 16))
     vecs = np.concatenate([base + rng.normal(0, 0.05, base.shape) for _ in range(6)])
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, v array<double>")
-    asked = rows.where("id < 20").select(F.col("id").alias("query_id"), "v")
-    want = {(r[0], r[1]) for r in knn.exact(rows, asked, 5, "id", "v").select("query_id", "id").collect()}
-    got = {(r[0], r[1]) for r in knn.hashed(rows, asked, 5, "id", "v", tables=8).select("query_id", "id").collect()}
-    assert len(want & got) / len(want) > 0.9
+    rows = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(vecs)], (900, None), (901, [0.0] * 16)], "id long, v array<double>")
+    asked = rows.where("id < 20 OR id >= 900").select(F.col("id").alias("query_id"), "v")
+    pairs = lambda df: {(r[0], r[1]) for r in df.select("query_id", "id").collect()}
+    want = pairs(knn.exact(rows, asked, 5, "id", "v"))
+    path = f"file://{tmp_path}/cells"
+    built = knn.build_cells(rows, "id", "v", path, n_cells=8)
+    assert sum(r["n"] for r in built.sizes().collect()) == len(vecs)
+    assert pairs(knn.search_cells(knn.load_cells(spark, path), asked, 5, 8, "v")) == want
+    shallow = knn.search_cells(built, asked, 5, 2, "v")
+    assert len(want & pairs(shallow)) / len(want) > 0.9
+    assert knn.compared_share(built, asked, 2, "v").first()["share"] < 0.6
+    assert knn.search_cells(built, asked.where("false"), 5, 2, "v").count() == 0
+    with pytest.raises(ValueError):
+        knn.build_cells(rows.where("id >= 900"), "id", "v", path)
+    knn.drop_cells(built)
+    assert not (tmp_path / "cells").exists()
+
+
+def test_nearest_keeps_ties_by_id():
+    near = knn._Nearest(2, 6)
+    near.add(np.array([[0.5, 0.1, 0.5, np.inf]]), np.array([9, 4, 3, 1]), np.array([7]))
+    near.add(np.array([[0.5]]), np.array([2]), np.array([7]))
+    assert [x.tolist() for x in near.best()] == [[7, 7], [4, 2], [0.1, 0.5]]
+
+
+def test_images_from_a_folder_and_from_bytes(spark, tmp_path):
+    """With an extractor of our own: descriptors are the numbers a file holds."""
+    rng = np.random.default_rng(3)
+    centres = 10 * np.eye(8)[:3]
+    data = {}
+    for i in range(9):
+        data[f"p{i}.png"] = (centres[i % 3] + rng.normal(0, 0.5, (40, 8))).astype(np.float32).tobytes()
+        (tmp_path / f"p{i}.png").write_bytes(data[f"p{i}.png"])
+    (tmp_path / "empty.png").write_bytes(b"")
+    (tmp_path / "notes.txt").write_text("no image")
+
+    def describe(content):
+        @F.pandas_udf("array<array<float>>")
+        def numbers(data):
+            return data.map(lambda d: np.frombuffer(bytes(d), np.float32).reshape(-1, 8).tolist())
+
+        return numbers(content)
+
+    engine = Engine(spark)
+    engine.build_images(f"file://{tmp_path}", 3, alpha=0, describe=describe)
+    assert engine.index("image").items.count() == 9
+    best = engine.search_bytes("image", data["p4.png"], 3, describe)
+    assert {r["filename"] for r in best.collect()} == {"p1.png", "p4.png", "p7.png"}
+    with pytest.raises(ValueError):
+        engine.search_bytes("image", b"", 3, describe)
+    told = engine.compare_like("image", "external_id", "p0", 2)
+    assert [t["method"] for t in told] == ["inverted", "dense"] and all({r["filename"] for r in t["results"]} == {"p3.png", "p6.png"} for t in told)
+    with pytest.raises(NotFound):
+        engine.compare_like("image", "external_id", "nothing")
+
+
+def test_large_images_are_shrunk_by_areas():
+    from kelpline.functions import images
+
+    rgb = np.zeros((600, 1024, 3), np.uint8)
+    rgb[:, 512:] = 200
+    small = images.shrunk(rgb, 512)
+    assert small.shape == (300, 512, 3) and small[:, :256].max() == 0 and small[:, 256:].min() == 200
+    assert images.shrunk(rgb[:10, :10], 512) is not None and images.shrunk(rgb[:10, :10], 512).shape == (10, 10, 3)
+    assert images.shrunk(np.full((3, 1000, 3), 7, np.uint8), 100).shape == (1, 100, 3)
