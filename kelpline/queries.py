@@ -155,29 +155,67 @@ def recycle_corpus(spark: SparkSession, root: str) -> DataFrame:
     return metrics.recycled(rows, ["song_id"], _RECYCLED * rows.count()).select("external_id", "title")
 
 
-@query()
+@query("""
+SELECT format, count(*) AS songs, CAST(sum(length(lyrics)) AS BIGINT) AS characters
+FROM lyrics_sample, (VALUES ('jsonl'), ('csv'), ('parquet')) f(format) GROUP BY format
+""")
 def songs_round_trip(spark: SparkSession, root: str) -> DataFrame:
     """Rows and characters of the songs as read back from JSON, CSV and Parquet files."""
     rows = table(spark, root, "lyrics_sample").select("song_id", "external_id", "title", "artist", "lyrics")
     out = None
-    for ending in ("json", "csv", "parquet"):
+    for ending in ("jsonl", "csv", "parquet"):
         path = new_path(spark, "songs") + "." + ending
-        if ending == "json":
+        if ending == "jsonl":
             rows.write.json(path)
         elif ending == "csv":
-            rows.write.csv(path, header=True, escape='"', quote='"')
+            rows.write.csv(path, header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         else:
             rows.write.parquet(path)
-        if ending == "json":  # Spark writes one object a line
-            back = songs.map_columns(spark.read.json(path))
-        else:
-            back = songs.map_columns(songs.read_table(spark, path))
+        back = songs.map_columns(songs.read_table(spark, path))
         told = back.agg(F.count(F.lit(1)).alias("songs"), F.sum(F.length("lyrics")).alias("characters"))
         told = told.withColumn("format", F.lit(ending))
         out = told if out is None else out.unionByName(told)
     return out
 
 
+def _feature_table(spark: SparkSession, root: str) -> str:
+    """A CSV of window features: the embeddings as windows of tracks of five, some of them broken."""
+    from kelpline.functions.audio import FEATURES
+
+    rows = table(spark, root, "embeddings")
+    name = F.concat(F.lit("genre."), F.lpad(F.expr("cast(vec_id div 5 as string)"), 5, "0"), F.lit("."), (F.col("vec_id") % 5).cast("string"), F.lit(".wav"))
+    broken = F.col("vec_id") % 50 == 7
+    told = [F.when(broken & F.lit(i == 3), F.lit("none")).otherwise(F.col("embedding")[i].cast("string")).alias(f) for i, f in enumerate(FEATURES)]
+    path = new_path(spark, "features") + ".csv"
+    rows.select(name.alias("filename"), F.col("label").cast("string").alias("label"), *told).write.csv(path, header=True)
+    return path
+
+
+@query("""
+SELECT 'genre.' || lpad(CAST(vec_id // 5 AS VARCHAR), 5, '0') || '.wav' AS track, CAST(arg_min(label, vec_id) AS VARCHAR) AS label, count(*) AS n_windows,
+round(sum(embedding[1]::DOUBLE), 4) AS first_feature, round(sum(embedding[57]::DOUBLE), 4) AS last_feature
+FROM embeddings WHERE vec_id % 50 <> 7 GROUP BY vec_id // 5
+""")
+def audio_tracks(spark: SparkSession, root: str) -> DataFrame:
+    """Tracks of a CSV of window features: names, labels, windows without broken ones."""
+    found = media.load_audio_features(spark, _feature_table(spark, root))
+    part = lambda i: F.round(F.aggregate("features", F.lit(0.0), lambda s, w: s + w[i].cast("double")), 4)
+    return found.select("track", "label", "n_windows", part(0).alias("first_feature"), part(56).alias("last_feature"))
+
+
+@query("""
+SELECT external_id, nullif(metadata ->> '$.articleType', '') AS type, nullif(metadata ->> '$.baseColour', '') AS color FROM items
+WHERE modality = 'image' AND external_id IS NOT NULL AND external_id <> ''
+""")
+def style_table(spark: SparkSession, root: str) -> DataFrame:
+    """Types and colours of products, written as a style table and read back."""
+    get = lambda k: F.get_json_object("metadata", f"$.{k}")
+    rows = table(spark, root, "items").where("modality = 'image' AND external_id <> ''")
+    path = new_path(spark, "styles") + ".csv"
+    rows.select(F.col("external_id").alias("id"), get("articleType").alias("articleType"), get("baseColour").alias("baseColour")).write.csv(path, header=True)
+    return media.load_styles(spark, path)
+
+
 @query("""
 SELECT event_type, date_trunc('day', ts) AS day, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS var, count(*) AS n
 FROM events GROUP BY ALL
@@ -654,13 +692,22 @@ def search_from_hist(spark: SparkSession, root: str) -> DataFrame:
     return search.search_histograms(ix, asked, 10, exclude=own).select("query_id", "item_id", "score", "place")
 
 
-@query()
+@query(_ASSIGN + """, n AS (SELECT item_id, sqrt(sum(weight * weight)) AS n FROM vpost GROUP BY 1),
+sc AS (SELECT a.item_id AS query_id, b.item_id, sum(a.weight * b.weight) / any_value(na.n) / any_value(nb.n) AS score
+  FROM vpost a JOIN vpost b ON a.word_idx = b.word_idx JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id
+  WHERE a.item_id % 100 = 0 GROUP BY ALL),
+l AS (SELECT vec_id // 5 AS item_id, arg_min(label, vec_id) AS label FROM embeddings GROUP BY 1)
+SELECT query_id, item_id, 'item-' || CAST(item_id AS VARCHAR) AS filename, label, round(score, 4) AS score,
+CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS INTEGER) AS place
+FROM sc JOIN l USING (item_id) QUALIFY place <= 10
+""")
 def search_descriptors(spark: SparkSession, root: str) -> DataFrame:
     """Raw descriptors of every hundredth item as queries, through scaler, codebook and index."""
     ix = _vector_index(spark, root)
     asked = _descriptors(spark, root).where(F.col("item_id") % EVERY == 0)
     asked = asked.groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list("vec").alias("descriptors"))
-    return search.search_histograms(ix, search.quantise_descriptors(ix, asked), 10).drop("chunk_id")
+    found = search.search_histograms(ix, search.quantise_descriptors(ix, asked), 10)
+    return found.select("query_id", "item_id", "filename", "label", "score", "place")
 
 
 @query(_ASSIGN + """, top AS (SELECT item_id, array_to_string(list_transform(range(10), lambda i:
@@ -824,7 +871,19 @@ def ablation_slices(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("chunk_id", part(1, 512).alias("shape_norm"), part(513, 32).alias("colour_norm"))
 
 
-@query()
+@query("""
+WITH h AS (SELECT DISTINCT chunk_id, hist::DOUBLE[] AS v FROM histograms WHERE modality = 'image' AND hist IS NOT NULL),
+u AS (SELECT * FROM h WHERE len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+w AS (SELECT chunk_id, 'shape' AS view, v[1:512] AS v FROM u UNION ALL SELECT chunk_id, 'colour', v[513:544] FROM u UNION ALL SELECT chunk_id, 'fused', v FROM u),
+z AS (SELECT * FROM w WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+i AS (SELECT item_id, min(metadata ->> '$.articleType') AS label FROM items WHERE modality = 'image' GROUP BY 1),
+l AS (SELECT DISTINCT chunk_id, label FROM (SELECT DISTINCT chunk_id, item_id FROM chunks WHERE modality = 'image') JOIN i USING (item_id)),
+d AS (SELECT a.view, a.chunk_id AS q, b.chunk_id AS b, row_number() OVER (PARTITION BY a.view, a.chunk_id ORDER BY round(1 - list_cosine_similarity(a.v, b.v), 6), b.chunk_id) AS place
+  FROM z a JOIN z b ON a.view = b.view AND a.chunk_id <> b.chunk_id WHERE a.chunk_id % 100 = 0),
+c AS (SELECT view, q, avg(CASE WHEN lq.label = lb.label THEN 1.0 ELSE 0.0 END) AS c FROM d JOIN l lq ON lq.chunk_id = q
+  LEFT JOIN l lb ON lb.chunk_id = b WHERE place <= 10 AND length(lq.label) > 0 GROUP BY view, q)
+SELECT view, round(avg(c), 6) AS coherence, count(*) AS queries FROM c GROUP BY view
+""")
 def ablation_coherence(spark: SparkSession, root: str) -> DataFrame:
     """Type coherence of ten neighbours by shape, by colour and by both, each view of unit length."""
     kind = F.get_json_object("metadata", "$.articleType").alias("label")
@@ -837,12 +896,67 @@ def ablation_coherence(spark: SparkSession, root: str) -> DataFrame:
         seen = materialize(rows.select("chunk_id", vx.l2_normalised(F.slice("hist", a, n)).alias("hist")), "view")
         asked = seen.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "hist")
         told = metrics.coherence(knn.exact(seen, asked, 10, "chunk_id", "hist"), labels, "chunk_id")
-        told = told.agg((F.sum(F.col("coherence") * F.col("n")) / F.sum("n")).alias("coherence"), F.sum("n").alias("queries"))
+        told = told.agg(F.round(F.sum(F.col("coherence") * F.col("n")) / F.sum("n"), 6).alias("coherence"), F.sum("n").alias("queries"))
         told = told.withColumn("view", F.lit(view))
         out = told if out is None else out.unionByName(told)
     return out
 
 
+_COLUMNS = {"mfcc": (18, 40), "all": (1, 57)}
+
+
+@query(
+    _Z + ", " + """w AS (
+  SELECT a.name, st.on_scale, vec_id, label, list(CASE WHEN on_scale THEN (x.x - z.mean) / z.scale ELSE x.x END ORDER BY x.dim) AS v
+  FROM x JOIN z USING (dim), (VALUES ('mfcc', 17, 57), ('all', 0, 57)) a(name, lo, hi), (VALUES (TRUE), (FALSE)) st(on_scale)
+  WHERE x.dim >= lo AND x.dim < hi GROUP BY ALL),
+d AS (SELECT a.name, a.on_scale, a.vec_id AS q, a.label AS lq, b.label AS lb,
+  row_number() OVER (PARTITION BY a.name, a.on_scale, a.vec_id ORDER BY round(1 - list_cosine_similarity(a.v, b.v), 6), b.vec_id) AS place
+  FROM w a JOIN w b ON a.name = b.name AND a.on_scale = b.on_scale AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT name AS columns, on_scale AS standardised, round(avg(CASE WHEN lq = lb THEN 1.0 ELSE 0.0 END), 6) AS coherence, CAST(count(DISTINCT q) AS BIGINT) AS queries
+FROM d WHERE place <= 10 GROUP BY name, on_scale
+"""
+)
+def ablation_columns(spark: SparkSession, root: str) -> DataFrame:
+    """Label coherence of ten neighbours by 40 or all 57 columns, standardised or not."""
+    rows = _descriptors(spark, root)
+    scaled = materialize(cb.z_apply(rows, cb.z_fit(rows)), "scaled")
+    labels, out = rows.select("vec_id", "label"), None
+    for name, (a, n) in _COLUMNS.items():
+        for standardised, source in ((True, scaled), (False, rows)):
+            seen = source.select("vec_id", F.slice("vec", a, n).alias("vec"))
+            asked = seen.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "vec")
+            told = metrics.coherence(knn.exact(seen, asked, 10, "vec_id", "vec"), labels, "vec_id")
+            told = told.agg(F.round(F.sum(F.col("coherence") * F.col("n")) / F.sum("n"), 6).alias("coherence"), F.sum("n").alias("queries"))
+            told = told.select(F.lit(name).alias("columns"), F.lit(standardised).alias("standardised"), "coherence", "queries")
+            out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query(
+    _Z + ", " + """w AS (SELECT vec_id, list(x ORDER BY dim) AS v FROM s GROUP BY vec_id)
+SELECT CAST(a.vec_id AS VARCHAR) AS query_id, 'inverted and dense' AS methods, 2 AS n_methods, 5 AS results FROM w a WHERE a.vec_id = 0"""
+)
+def compare_methods(spark: SparkSession, root: str) -> DataFrame:
+    """The two ways to find items like a stored one, with what they return."""
+    from kelpline.engine import Engine
+
+    engine = Engine(spark)
+    engine.indexes["image"] = _vector_index(spark, root)
+    told = engine.compare_like("image", "filename", "item-0", 5)
+    row = ("0", " and ".join(t["method"] for t in told), len(told), min(t["count"] for t in told))
+    return spark.createDataFrame([row], "query_id string, methods string, n_methods int, results int")
+
+
+@query("SELECT event_type, CAST(count(*) AS VARCHAR) AS n, CAST(count(DISTINCT user_id) AS VARCHAR) AS users FROM events GROUP BY event_type")
+def report_csv(spark: SparkSession, root: str) -> DataFrame:
+    """A table of results, written as one CSV file and read back."""
+    rows = table(spark, root, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    path = new_path(spark, "report")
+    metrics.write_csv(rows, path)
+    return spark.read.csv(path, header=True)
+
+
 # -- storage and streams -----------------------------------------------------------------------------
 
 
@@ -864,6 +978,21 @@ def search_stored_index(spark: SparkSession, root: str) -> DataFrame:
     return found.select("item_id", "score")
 
 
+@query(_ASSIGN + """SELECT item_id, round(max(CASE WHEN word_idx = 0 THEN weight ELSE 0 END), 6) AS first_word, round(sqrt(sum(weight * weight)), 6) AS norm
+FROM vpost GROUP BY item_id""")
+def stored_vector_index(spark: SparkSession, root: str) -> DataFrame:
+    """An index of descriptors, written, read back, and its dense histograms with their items; nothing is left after it is dropped."""
+    path = new_path(spark, "store")
+    store.save(_vector_index(spark, root), path, "shop")
+    read = store.load(spark, path, "image", "shop")
+    assert read.scaler is not None and read.codebook.count() == read.k
+    rows = store.load_histograms(spark, path, "image", "shop")
+    out = materialize(rows.select("item_id", F.round(F.col("hist")[0], 6).alias("first_word"), F.round(vx.norm(F.col("hist")), 6).alias("norm")), "told")
+    store.drop(spark, path, "image", "shop")
+    assert store.stored_bytes(spark, f"{path}/app=shop/modality=image") == 0
+    return out
+
+
 @query("SELECT lower(metadata ->> '$.label') AS label, count(*) AS total FROM items WHERE modality = 'audio' AND (metadata ->> '$.label') IS NOT NULL GROUP BY 1")
 def label_totals(spark: SparkSession, root: str) -> DataFrame:
     label = F.lower(F.get_json_object("metadata", "$.label")).alias("label")
