@@ -1016,5 +1016,6 @@ def streaming_append(spark: SparkSession, root: str) -> DataFrame:
     arriving = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     out = new_path(spark, "appended")
     append_stream(arriving, ix, "item_id", "lyrics", out, new_path(spark, "progress")).awaitTermination()
-    rows = spark.read.parquet(out)
+    chunks = spark.read.parquet(f"{out}/chunks").select("chunk_id", "item_id", "position")
+    rows = index.postings_of_blocks(spark.read.parquet(f"{out}/blocks")).join(chunks, "chunk_id")
     return rows.select("item_id", "position", "word_idx", F.round("weight", 6).alias("weight"))

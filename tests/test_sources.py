@@ -9,7 +9,9 @@ from kelpline.functions.audio import FEATURES, window_bounds
 from kelpline.functions.text import Analyzer
 from kelpline.operators.index import build_text_index
 from kelpline.sources import media, songs
-from kelpline.streaming.append import append_stream
+from kelpline.functions.text import query_frame
+from kelpline.operators.search import search_text_items
+from kelpline.streaming.append import append_stream, grown_index
 
 ROWS = [
     {"Link": "x1", "song": "One", "artists": "A", "text": "first line\nsecond\n\nthird, \"quoted\""},
@@ -105,8 +107,14 @@ def test_images(spark, tmp_path):
 def test_stream(spark, tmp_path):
     items = spark.createDataFrame([(0, "red rain falls\n\nblue boats"), (1, "green rain")], "item_id long, lyrics string")
     ix = build_text_index(items, 10, Analyzer())
-    source = f"file://{tmp_path}/in"
-    items.write.parquet(source)
-    arriving = spark.readStream.schema("item_id long, lyrics string").parquet(source)
-    append_stream(arriving, ix, "item_id", "lyrics", f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination()
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == ix.n_postings()
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    assert grown_index(ix, out) is ix
+    for batch in ([(7, "green boats\n\nred rain"), (8, None)], [(9, "blue blue rain")]):
+        spark.createDataFrame(batch, items.schema).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(items.schema).parquet(source)
+        append_stream(arriving, ix, "item_id", "lyrics", out, f"file://{tmp_path}/ck").awaitTermination()
+    grown = grown_index(ix, out)
+    assert sorted(r["chunk_id"] for r in grown.chunks.collect()) == list(range(6))
+    assert sorted(r["item_id"] for r in grown.items.collect()) == [0, 1, 7, 8, 9]
+    found = search_text_items(grown, query_frame(spark, "blue"), 5).collect()
+    assert {r["item_id"] for r in found} == {0, 9} and [r["content"] for r in found if r["item_id"] == 9] == ["blue blue rain"]
