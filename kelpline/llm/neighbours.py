@@ -7,7 +7,7 @@ sqrt((1 - f^2) / f^2 / (bits - 1)) * sqrt(1 - <o, q>^2), so a pair of at least t
 s - z * sqrt((1 - f^2) / f^2 / (bits - 1)) * sqrt(1 - s^2) with the probability of a normal value beyond z.  Only
 vectors above that, where s is the floor or the k-th best so far, are reranked with the vectors themselves.
 
-Two plans share these codes:
+Three plans share these codes:
 
 * :func:`nearest_to_queries`: a set of queries, in blocks, against one scan of all codes.
 * :func:`similar_pairs`: every vector against every other one above a similarity floor.  Vectors are
@@ -16,6 +16,7 @@ Two plans share these codes:
   measured over all its rows, a vector must look into few cells.
   Cells are cut into blocks of bounded size and compared block by block, so a cell that holds a third
   of all rows is many tasks.
+* :func:`nearest_in_cells`: the k best of every vector, each of which looks into the few cells nearest to it.
 
 Equal vectors are collapsed to one representative first.
 """
@@ -457,13 +458,119 @@ def similar_pairs(
     found = spread.groupBy("grp", "level", "cell", "probe", "i", "j").applyInPandas(
         _compare(floor, k, seed), f"a {id_type}, b {id_type}, sim double"
     )
-    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    found = materialize(found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place"), "pairs")
+    found = materialize(best_partners(found, k), "pairs")
     for t in tables:
         release(t)
     return found
 
 
+# -- the k best of every vector, approximately --------------------------------------------------------
+
+
+def centres_of(sample: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """At most ``n`` centres of a sample: directions that move to the mean of what is nearest to them, from evenly chosen rows."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(int)].copy()
+    for _ in range(rounds):
+        near = np.concatenate([(sample[lo : lo + 2048] @ centres.T).argmax(1) for lo in range(0, len(sample), 2048)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def _to_nearest(centres, probes: int):
+    """Every row in its nearest cell, at home, and in the next ones, to look."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for grp, whole in batch.groupby("grp", sort=False):
+                c = centres.value[grp]
+                top = min(probes, len(c))
+                for lo in range(0, len(whole), 1024):
+                    rows = whole.iloc[lo : lo + 1024]
+                    near = -_cosines(_unit(rows["vec"]), c)
+                    cell = np.argpartition(near, top - 1, axis=1)[:, :top]
+                    cell = np.take_along_axis(cell, np.argsort(np.take_along_axis(near, cell, axis=1), axis=1, kind="stable"), axis=1)
+                    for p in range(top):
+                        yield rows.assign(level=np.int32(0), cell=cell[:, p].astype(np.int32), home=p == 0)
+
+    return run
+
+
+def _best_of_codes(q: np.ndarray, v: np.ndarray, rot: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, similarity) of the ``k`` best v of every q: codes choose what is compared exactly."""
+    about, error = estimate(q, *encode(v, rot), rot)
+    if same:
+        np.fill_diagonal(about, -9)
+    k = min(k, len(v) - same)
+    if k <= 0:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    first = np.argpartition(-about, k - 1, axis=1)[:, :k]
+    exact = np.einsum("id,ikd->ik", q, v[first])
+    least = exact.min(1, keepdims=True)
+    maybe = about + Z_BEST * np.sqrt(1 - np.clip(least, 0, 1) ** 2) * error[None, :] >= least
+    np.put_along_axis(maybe, first, False, axis=1)
+    if same:
+        np.fill_diagonal(maybe, False)
+    i, j = np.nonzero(maybe)
+    sims = np.concatenate([np.einsum("ij,ij->i", q[i[lo : lo + 20_000]], v[j[lo : lo + 20_000]]) for lo in range(0, len(i), 20_000)] or [np.zeros(0)])
+    x, y, s = np.concatenate([np.repeat(np.arange(len(q)), k), i]), np.concatenate([first.ravel(), j]), np.concatenate([exact.ravel(), sims])
+    order = np.lexsort((y, -s, x))
+    x, y, s = x[order], y[order], s[order]
+    begins = np.flatnonzero(np.append(True, np.diff(x) != 0))
+    keep = np.arange(len(x)) - np.repeat(begins, np.diff(np.append(begins, len(x)))) < k
+    return x[keep], y[keep], s[keep]
+
+
+def _compare_best(k: int, seed: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        grp, _, _, probe, i, j = key
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not probe and i == j
+        sides = [(left, left)] if same else [(left, right)] if probe else [(left, right), (right, left)]
+        unit, out = _unit(rows["vec"]), [pd.DataFrame({"a": ids[:0], "b": ids[:0], "sim": np.zeros(0)})]
+        for a, b in sides:
+            if len(a) and len(b):
+                x, y, sim = _best_of_codes(unit[a], unit[b], rotation(_dim(grp), seed), k, same)
+                out.append(pd.DataFrame({"a": ids[a[x]], "b": ids[b[y]], "sim": sim}))
+        return pd.concat(out)
+
+    return run
+
+
+def nearest_in_cells(
+    reps: DataFrame, k: int, probes: int = 8, cell_rows: int = 200, most_cells: int = 4_096, sample_rows: int = 16_384, block: int = BLOCK, seed: int = 11
+) -> DataFrame:
+    """(a, b, sim): for every vector a its ``k`` most similar vectors b of the ``probes`` cells whose centres are nearest to a.
+
+    Centres are fitted on at most ``sample_rows`` vectors of a group, one for about ``cell_rows`` vectors, at most ``most_cells``;
+    every vector is placed, at home in one cell.  What is lost are partners in cells that a does not look into; more
+    ``probes`` lose less.  Cells of any size are compared block by block, and a task keeps k partners a row.
+    """
+    spark, id_type = reps.sparkSession, reps.schema["id"].dataType.simpleString()
+    rows = reps.select("grp", "id", "vec", F.lit(1.0).alias("len"), F.lit(1).cast("long").alias("n"))
+    sizes = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a group
+    sent = spark.sparkContext.broadcast(
+        {g: centres_of(_sample(rows, g, n, sample_rows, 0), min(most_cells, -(-n // cell_rows))) for g, n in sizes.items()}
+    )
+    schema = f"grp string, id {id_type}, vec array<float>, len double, n long, level int, cell int, home boolean"
+    placed = materialize(rows.mapInPandas(_to_nearest(sent, probes), schema), "cells")
+    sent.destroy()
+    spread = in_tasks(placed, cell_sizes(placed), block)
+    found = spread.groupBy("grp", "level", "cell", "probe", "i", "j").applyInPandas(_compare_best(k, seed), f"a {id_type}, b {id_type}, sim double")
+    found = materialize(best_partners(found, k), "pairs")
+    release(placed)
+    return found
+
+
+def best_partners(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best (b, sim) of every a; similarities are equal to nine digits, ties are ordered by b."""
+    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))
+    return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 # -- queries against all rows ------------------------------------------------------------------------
 
 
@@ -544,8 +651,7 @@ def nearest_to_queries(reps: DataFrame, queries: DataFrame, k: int, query_block:
     found = empty
     for p in parts:
         found = found.unionByName(p)
-    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+    return best_partners(found, k)
 
 
 # -- the operator ------------------------------------------------------------------------------------
@@ -560,12 +666,14 @@ def most_similar(
     floor: float | None = None,
     queries: Callable[[Column], Column] | None = None,
     order: list[str] | None = None,
+    probes: int = 8,
 ) -> DataFrame:
     """(a, b, sim): for every vector a the ``k`` most similar vectors b of its group, by cosine.
 
     With ``floor`` all vectors are queries and only partners of at least that similarity come out, by
-    comparison within cells.  Otherwise ``queries``, a condition on the id, names the queries (all vectors
-    if None), each block of which scans all codes.
+    comparison within cells, and all of them.  With ``queries``, a condition on the id, the rows that meet it are queries, each
+    block of which scans all codes.  With neither, all vectors are queries, each of which looks into the ``probes`` cells
+    nearest to it, so a few partners are missed (see :func:`nearest_in_cells`).
     Equal vectors are compared once; their copies come out as partners of similarity 1, the smallest ids
     first, up to k.  Null, empty, all-zero vectors and those with null, NaN or infinite entries are
     neither queries nor partners; repeated ids count once (the greatest by ``order``); an empty table
@@ -575,9 +683,10 @@ def most_similar(
     reps, members = parts.reps, parts.members
     if floor is not None:
         found = similar_pairs(reps, floor, k)
+    elif queries is None:
+        found = nearest_in_cells(reps, k, probes)
     else:
-        asked = reps if queries is None else _representatives_of(parts, queries)
-        found = nearest_to_queries(reps, asked, k)
+        found = nearest_to_queries(reps, _representatives_of(parts, queries), k)
     own = reps.where("copies > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     found = found.unionByName(own)
     # k + 1 copies of a class are enough as partners, whatever its size
@@ -585,7 +694,7 @@ def most_similar(
     partner = found.join(first.select(F.col("rep").alias("b"), F.col("id").alias("_copy")), "b", "left").select(
         "a", F.coalesce("_copy", "b").alias("b"), "sim"
     )
-    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    best = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))
     partner = partner.withColumn("_n", best).where(F.col("_n") <= k + 1).drop("_n")
     asker = partner.join(members.select(F.col("rep").alias("a"), F.col("id").alias("_copy")), "a", "left").select(
         F.coalesce("_copy", "a").alias("a"), "b", "sim"

@@ -250,15 +250,43 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return best.select(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")).distinct()
 
 
-@query()
-def p2_nearest(spark: SparkSession, root: str) -> DataFrame:
-    """The ten most similar vectors of every hundredth chunk, among all rows."""
+_TEN = """
+WITH v AS (SELECT DISTINCT chunk_id, modality, hist::DOUBLE[] AS v FROM histograms WHERE hist IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+d AS (SELECT a.chunk_id, b.chunk_id AS similar_id, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b
+      ON a.modality = b.modality AND a.chunk_id <> b.chunk_id AND len(a.v) = len(b.v) WHERE a.chunk_id % 100 = 0)
+SELECT chunk_id, similar_id, round(sim, 6) AS similarity FROM d
+QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY round(sim, 9) DESC, similar_id) <= 10
+"""
+
+
+def _ten(spark: SparkSession, root: str, queries: Callable[[Column], Column] | None) -> DataFrame:
     best = neighbours.most_similar(
-        table(spark, root, "histograms"), "chunk_id", "hist", 10, "modality", queries=lambda c: c % 100 == 0, order=["loaded_at"]
+        table(spark, root, "histograms"), "chunk_id", "hist", 10, "modality", queries=queries, order=["loaded_at"]
     )
     return best.select(F.col("a").alias("chunk_id"), F.col("b").alias("similar_id"), F.round("sim", 6).alias("similarity"))
 
 
+@query(_TEN)
+def p2_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar vectors of every hundredth chunk, among all rows."""
+    return _ten(spark, root, lambda c: c % 100 == 0)
+
+
+@query()
+def p2_similar(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar vectors of every vector, each from the cells nearest to it."""
+    return _ten(spark, root, None)
+
+
+@query("SELECT TRUE AS at_least_nine_tenths")
+def p2_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Do the lists of all vectors hold nine tenths of what a scan of all rows finds for every hundredth one?"""
+    want, found = _ten(spark, root, lambda c: c % 100 == 0), _ten(spark, root, None)
+    both = want.select("chunk_id", "similar_id").join(found.select("chunk_id", "similar_id", F.lit(1).alias("hit")), ["chunk_id", "similar_id"], "left")
+    return both.agg((F.coalesce(F.count("hit") / F.count(F.lit(1)), F.lit(1.0)) >= 0.9).alias("at_least_nine_tenths"))
+
+
 # 5 -- similarity clusters --------------------------------------------------------------------------
 
 
@@ -301,7 +329,18 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return linkage.cluster_pairs(found, ["cluster", "src"], "key").select("src", "key_a", "key_b")
 
 
-@query()
+@query("""
+WITH v AS (
+  SELECT DISTINCT 'histograms' AS src, chunk_id AS key, modality, hist::DOUBLE[] AS v FROM histograms WHERE hist IS NOT NULL AND modality <> 'text'
+  UNION ALL SELECT DISTINCT 'codebook', id, modality, centroid::DOUBLE[] FROM codebook WHERE centroid IS NOT NULL AND modality <> 'text'),
+u AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.src, a.modality, a.key, b.key AS other, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b
+  ON a.src = b.src AND a.modality = b.modality AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.74),
+m AS (SELECT src, modality, key, min(CAST(other AS VARCHAR)) AS cluster, avg(sim) AS t FROM s GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY src, modality, cluster ORDER BY round(t, 7) DESC, CAST(key AS VARCHAR)) AS place FROM m)
+SELECT src, modality, CAST(cluster AS BIGINT) AS cluster, count(*) AS size, round(avg(t), 6) AS cohesion,
+array_to_string(list(CAST(key AS VARCHAR) ORDER BY place) FILTER (place <= 3), ' ') AS typical_keys FROM p GROUP BY src, modality, cluster
+""")
 def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Size, cohesion and the three most typical members of every group."""
     rows = _vectors(spark, root)
@@ -310,7 +349,7 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     return told.select(
         _src("cluster").alias("src"), F.element_at(F.split("grp", "/"), 2).alias("modality"),
         _key("cluster").alias("cluster"), "size", F.round("cohesion", 6).alias("cohesion"),
-        F.transform("typical_ids", _key).alias("typical_keys"),
+        F.array_join(F.transform("typical_ids", lambda i: _key(i).cast("string")), " ").alias("typical_keys"),
     )
 
 
