@@ -93,13 +93,10 @@ def _unpack(codes: pd.Series) -> np.ndarray:
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, group_col: str | None, order: list[str] | None = None) -> DataFrame:
     """(grp, id, vec) without null, empty, all-zero vectors and those with null, NaN or infinite entries.
 
-    grp joins the group with the number of dimensions: vectors of different length are never compared.  Repeated
-    ids, found by a pass over the ids alone, are few or many; only their rows are shuffled.
+    grp joins the group with the number of dimensions: vectors of different length are never compared.
     """
     check_columns(df, id_col, vec_col, *([group_col] if group_col else []))
     group = F.col(group_col).cast("string") if group_col else F.lit("")
-    times = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    repeated = materialize(times.where("_n > 1 AND id IS NOT NULL").select("id"), "repeated")
     rows = df.select(
         F.concat(F.coalesce(group, F.lit("")), F.lit("/"), F.size(vec_col)).alias("grp"),
         F.col(id_col).alias("id"),
@@ -111,9 +108,8 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, group_col: str | No
     inf, nan = float("inf"), F.lit(float("nan")).cast("float")
     fine = ~F.isnan(most) & (most < inf) & (least > -inf) & ((most != 0) | (least != 0)) & F.array_contains("vec", nan).isNotNull()
     rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & fine)
-    once = rows.join(repeated, "id", "left_anti").select("grp", "id", "vec")
-    often = latest_per_id(rows.join(repeated, "id", "left_semi"), "id", ["grp", "vec"], [f"_o{k}" for k in range(len(order or []))])
-    return once.unionByName(often.select("grp", "id", "vec"))
+    ids = df.select(F.col(id_col).alias("id"))
+    return latest_per_id(rows, "id", ["grp", "vec"], [f"_o{k}" for k in range(len(order or []))], ids).select("grp", "id", "vec")
 
 
 @dataclass

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kelpline.llm.common import check_columns, clean_term, latest_per_id, terms_of
+from kelpline.llm.common import check_columns, clean_term, grouped_per_id, terms_of
 from kelpline.runtime import materialize
 
 #: A vocabulary of up to so many terms is sent to every task; a larger one is joined by a shuffle.
@@ -39,7 +39,7 @@ def record_terms(
     kept, while ``length`` still counts every token.
     """
     check_columns(records, id_col, text_col)
-    docs = latest_per_id(
+    docs = grouped_per_id(
         records.select(id_col, text_col, *[c for c in order or [] if c not in (id_col, text_col)]), id_col, [text_col], order
     ).where(F.col(text_col).isNotNull())
     tokens = docs.select(F.col(id_col), terms_of(F.col(text_col)).alias("_tokens"))

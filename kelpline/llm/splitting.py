@@ -126,7 +126,7 @@ def split_oversized(
         raise ValueError("0 <= overlap < shortest <= limit must hold")
     rows = df.select(id_col, text_col, *[c for c in order or [] if c not in (id_col, text_col)])
     rows = rows.where(F.length(text_col) > 0)
-    newest = latest_per_id(rows, id_col, [text_col], order)
+    newest = latest_per_id(rows, id_col, [text_col], order, df.select(id_col))
     short, long = newest.where(F.length(text_col) <= limit), newest.where(F.length(text_col) > limit)
 
     whole = short.select(
