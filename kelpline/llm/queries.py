@@ -190,7 +190,8 @@ def _marked(spark: SparkSession, root: str) -> DataFrame:
         timeless = F.col("loaded_at").isNull()
         first, later = chunks.where((F.col("loaded_at") <= cut) | timeless), chunks.where(F.col("loaded_at") > cut)
         store.apply(term_counts.record_changes(None, first, "chunk_id", "content", ["loaded_at"]), "first")
-        known = first.join(later.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        touched = materialize(later.select("chunk_id").distinct(), "touched")  # of known size: few are sent, many shuffled
+        known = first.join(touched, "chunk_id", "left_semi")
         store.apply(term_counts.record_changes(known, later, "chunk_id", "content", ["loaded_at"]), "later")
     return term_counts.marked_terms(store, table(spark, root, "codebook").where("modality = 'text'"))
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import check_columns, clean_term, latest_per_id, terms_of
+from kelpline.llm.common import check_columns, clean_term, grouped_per_id, latest_per_id, terms_of
 from kelpline.runtime import new_path, range_partitions
 
 #: The row of a batch that holds the change of the number of records; no term is empty.
@@ -32,6 +32,8 @@ def record_changes(
     Records with a null text or id do not exist.  Of repeated ids the greatest (``order``, text) counts.
     """
     state = before if before is not None else after
+    # two states meet by id, so their rows are spread by it anyway
+    per_id = latest_per_id if before is None or after is None else grouped_per_id
     if state is None:
         raise ValueError("there is neither a state before nor one after")
 
@@ -40,7 +42,7 @@ def record_changes(
             df = state.limit(0)
         check_columns(df, id_col, text_col)
         cols = [id_col, text_col, *[c for c in order or [] if c not in (id_col, text_col)]]
-        rows = latest_per_id(df.select(*cols), id_col, [text_col], order).where(F.col(text_col).isNotNull())
+        rows = per_id(df.select(*cols), id_col, [text_col], order).where(F.col(text_col).isNotNull())
         return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias(name))
 
     if before is None:
