@@ -104,6 +104,10 @@ def most_characteristic(scored: DataFrame, id_col: str, by: str = "bm25", k: int
     """
     scored = scored.where(F.col(by) > 0)
     if k is None:
+        # what is within ``tie`` of the best is in its step or the next one; a rank, unlike a maximum, cuts before the shuffle
+        step = F.floor(F.col(by) / (10 * tie)) if tie else F.col(by)
+        near = F.dense_rank().over(W.partitionBy(id_col).orderBy(F.desc(step)))
+        scored = scored.withColumn("_near", near).where(F.col("_near") <= 2).drop("_near")
         best = F.max(by).over(W.partitionBy(id_col))
         return scored.withColumn("_best", best).where(F.col(by) >= F.col("_best") - tie).drop("_best")
     place = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc(F.round(by, 9)), "term"))
