@@ -33,13 +33,13 @@ SPELLINGS = {
     "it": "it ita italian italiano",
     "ru": "ru rus russian русский",
 }
-#: Syllables of filler lines.
+#: A choice of ours: syllables that make a line a filler if it has no other word; one that is missing here counts as a word.
 FILLERS = frozenset(
     "la na oh ooh oooh o ah aah uh uhh eh ey hey heya yeah yea yeh ye yo da di du dum do doo doob dooby ba bam bom sha shala "
     "lala nana lalala nanana whoa woah wo wow hm hmm mm mmm mhm hoo ho ha hah haha tra trala ay aye uo ei ai ля ла на о ой эй "
     "ах ох у а да ага е йе йо хей".split()
 )
-#: Names of sections that may stand before a colon or alone in parentheses.
+#: A choice of ours: names of sections that may stand before a colon or alone in parentheses.
 SECTIONS = (
     "verse chorus bridge intro outro hook refrain instrumental solo interlude coro estribillo estrofa verso puente "
     "refrão ponte refrain couplet pont strophe refrain ritornello strofa припев куплет pre-chorus"

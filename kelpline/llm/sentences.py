@@ -5,8 +5,9 @@ what follows them (a lower-case word, a digit, a capitalised word that is otherw
 capitalised word that never is), which words stand before single letters and numbers with a period, and
 before dots of suspension.  From these counts log-likelihood ratios tell abbreviations (followed by
 something that does not begin a sentence more often than periods usually are), collocations (a word that
-keeps a number or letter and its period inside the sentence, or ends it there) and sentence starters
-(capitalised words that are otherwise small).  The second pass classifies every possible boundary with them.
+keeps the number or letter behind it and its period inside the sentence, or ends it there) and sentence starters
+(words that stand after sure ends more often than words do, and are also written small; where the ratio does not
+decide, words that are otherwise written small).  The second pass classifies every possible boundary with them.
 
 Marks of scripts without spaces, dandas and Thai gaps need no statistics; quotations need the colon before
 them, what follows them, and whether they span sentences.
