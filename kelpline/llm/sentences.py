@@ -667,9 +667,9 @@ def starter_words(counted: DataFrame, model: SentenceModel, least: float = START
     size = counted.where("kind = 'size'").select("lang", F.lit(0).cast("long").alias("ends"), F.col("n").alias("size"))
     base = ends.unionByName(size)
     base = base.where("lang <> ''").unionByName(base.withColumn("lang", F.lit(ANY)))
-    base = base.groupBy("lang").agg((F.sum("ends") / F.sum("size")).alias("p"), (F.sum("size") * LEAST_SHARE).alias("least"))
-    rows = words.join(F.broadcast(base), "lang").where("p > 0 AND p < 1 AND n >= least").withColumn("q", F.col("k") / F.col("n"))
-    part = "CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({q} / {p}) END"
+    base = base.groupBy("lang").agg((F.sum("ends") / F.nullif(F.sum("size"), F.lit(0))).alias("p"), (F.sum("size") * LEAST_SHARE).alias("least"))
+    rows = words.join(F.broadcast(base), "lang").where("p > 0 AND p < 1 AND n >= least").withColumn("q", F.col("k") / F.nullif("n", F.lit(0)))
+    part = "CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({q} / nullif({p}, 0)) END"
     ratio = F.expr("2 * (" + part.format(k="k", q="q", p="p") + " + " + part.format(k="(n - k)", q="(1 - q)", p="(1 - p)") + ")")
     # what is never written small may be a name, which begins sentences, too, and also follows titles
     return rows.where(ratio >= least).where("q < p OR s > 0").select("lang", "word", (F.col("q") > F.col("p")).alias("begins"))
