@@ -525,9 +525,11 @@ def _cells(spark: SparkSession, root: str) -> tuple[knn.CellIndex, DataFrame, Da
 
 @query()
 def ann_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Neighbours from the two nearest cells of a stored index, loaded again."""
-    built, _, asked = _cells(spark, root)
-    found = knn.search_cells(knn.load_cells(spark, built.path), asked, 10, 2, "hist", "chunk_id")
+    """Neighbours of every hundredth embedding from the eight nearest cells of a stored index, loaded again."""
+    rows = table(spark, root, "embeddings")
+    asked = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    built = knn.build_cells(rows, "vec_id", "embedding", new_path(spark, "cells"))
+    found = knn.search_cells(knn.load_cells(spark, built.path), asked, 10, 8, "embedding", "vec_id")
     return found.withColumn("dist", F.round("dist", 6))
 
 
@@ -897,7 +899,7 @@ def ablation_coherence(spark: SparkSession, root: str) -> DataFrame:
         asked = seen.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "hist")
         told = metrics.coherence(knn.exact(seen, asked, 10, "chunk_id", "hist"), labels, "chunk_id")
         told = told.agg(F.round(F.sum(F.col("coherence") * F.col("n")) / F.sum("n"), 6).alias("coherence"), F.sum("n").alias("queries"))
-        told = told.withColumn("view", F.lit(view))
+        told = told.where("queries > 0").withColumn("view", F.lit(view))
         out = told if out is None else out.unionByName(told)
     return out
 
@@ -928,7 +930,7 @@ def ablation_columns(spark: SparkSession, root: str) -> DataFrame:
             asked = seen.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "vec")
             told = metrics.coherence(knn.exact(seen, asked, 10, "vec_id", "vec"), labels, "vec_id")
             told = told.agg(F.round(F.sum(F.col("coherence") * F.col("n")) / F.sum("n"), 6).alias("coherence"), F.sum("n").alias("queries"))
-            told = told.select(F.lit(name).alias("columns"), F.lit(standardised).alias("standardised"), "coherence", "queries")
+            told = told.select(F.lit(name).alias("columns"), F.lit(standardised).alias("standardised"), "coherence", "queries").where("queries > 0")
             out = told if out is None else out.unionByName(told)
     return out
 
